@@ -114,9 +114,10 @@ def parse_responses(df: DataFrame, raw: str = "raw_response") -> DataFrame:
 
     Missing keys take defaults (false, .5, none, empty); text that is no JSON object takes them all, with the reasoning ``Parse error``.
     """
-    trimmed = F.trim(F.coalesce(F.col(raw), F.lit("")))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    trimmed = strip(F.coalesce(F.col(raw), F.lit("")))
     inner = F.when(trimmed.startswith("```"), F.regexp_replace(F.element_at(F.split(trimmed, "```"), 2), "^json", "")).otherwise(trimmed)
-    clean = F.trim(inner)
+    clean = strip(inner)
     fine = clean.startswith("{") & F.json_object_keys(clean).isNotNull()
     field_ = lambda name: F.get_json_object(clean, f"$.{name}")
     truthy = F.lower(F.coalesce(field_("violates_policy"), F.lit("false"))) == "true"
