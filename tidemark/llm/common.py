@@ -46,6 +46,7 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that text operators work on: ``doc_id`` and ``text`` (null becomes empty); any others are left out."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -54,5 +55,12 @@ def crc_mod(column: Column, mod: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % mod, F.lit(-1))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at a time, by rows and by bytes; settings the user has made stay."""
+    for key, usual, bound in (("maxRecordsPerBatch", "10000", "1024"), ("maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", usual) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", bound)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

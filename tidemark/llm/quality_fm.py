@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, texts
+from tidemark.llm.common import crc_mod, small_batches, texts
 from tidemark.llm.labelled import labelled_sample
 
 _ROOM = 300_000
@@ -176,6 +176,7 @@ def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id",
 
 def accepted(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -2,13 +2,14 @@
 
 The vocabularies served here drop white space and never merge across it, so the
 ids of a text are the ids of its white-space separated words in order. Each
-Python worker keeps the ids of the words it has met (two generations, so the
-memory is bounded and frequent words stay).
+Python worker keeps the ids of the words it has met, up to a bound; words of
+letters alone go straight to the library's merges.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,25 @@ from pyspark.sql import DataFrame
 
 #: Beyond U+024F, or with these separators, Python and the library may disagree on case, composition or white space.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ]")
-_ROOM = 300_000
+_ROOM = 500_000
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words on which the short way must agree with the whole one before it is used.
+_PROBES = ("a", "the", "straße", "été", "unbelievable", "niño", "zzzzqqqq", "ärger")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable Latin-1 stays, the rest follows from U+0100 on."""
+    stays = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    moved = [b for b in range(256) if b not in set(stays)]
+    return {b: chr(b) for b in stays} | {b: chr(256 + k) for k, b in enumerate(moved)}
+
+
+_LETTERS = _byte_letters()
 _open: dict[int, "WordTokens"] = {}
 
 
 class WordTokens(dict):
-    """word -> its ids as little-endian bytes; unknown words are encoded by the library on first use."""
+    """word -> its ids as bytes; unknown words are encoded by the library on first use."""
 
     def __init__(self, vocabulary: str):
         super().__init__()
@@ -30,10 +44,11 @@ class WordTokens(dict):
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.older: dict[str, bytes] = {}
-        self.ends = {mark: self._encode(mark) for mark in ".,"}
+        self.dtype = np.dtype("u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "u4")
+        self.merges, self.turned_away = self.tokenizer.model, 0
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.by_word = self._words_stand_alone(vocabulary)
+        self.short_way = self.by_word and all(self._merge(w) == self._encode(w) for w in _PROBES)
 
     @staticmethod
     def _words_stand_alone(vocabulary: str) -> bool:
@@ -47,19 +62,29 @@ class WordTokens(dict):
         return bool(split and any(x.get("type") == "Lowercase" for x in cases) and all(r"\s" not in re.sub(r"\[\^[^\]]*\]", "", x["pattern"]["Regex"]) for x in steps[:1]))
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _merge(self, word: str) -> bytes:
+        """The ids of one word of lower-case letters, without normaliser and pre-tokeniser."""
+        letters = word if word.isascii() else "".join(map(_LETTERS.__getitem__, word.encode()))
+        return array(self.code, [t.id for t in self.merges.tokenize(letters)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1] in self.ends and len(word) > 1 and word[-2].isalnum():
-            return self[word[:-1]] + self.ends[word[-1]]
-        ids = self.older.get(word)
-        if ids is None:
+        if not self.short_way:
             ids = self._encode(word)
-        if len(self) >= _ROOM:
-            self.older = dict(self)
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
+        elif word.isalpha():
+            ids = self._merge(word)
+        else:  # letters and then marks are two pre-tokens
+            stem = word.rstrip(_MARKS)
+            ids = self[stem] + self[word[len(stem) :]] if len(stem) < len(word) and stem.isalpha() else self._encode(word)
+        if len(self) < _ROOM:
+            if len(word) <= 64:
+                self[word] = ids
+        else:
+            self.turned_away += 1
+            if self.turned_away > 4 * _ROOM:  # other words have become frequent
+                self.turned_away = 0
+                self.clear()
         return ids
 
     def ids(self, text: str) -> bytes:
