@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if now == seen:
             break
         seen = now
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
 def _state(stars: DataFrame) -> tuple:
