@@ -63,7 +63,9 @@ def remove_repeated_chunks(docs: DataFrame, long_line: int = 120, lines_per_chun
     equal = texts.filter("NOT t_is_first").join(first, "t_h").filter(F.col("t_chunk") == F.col("t_canon"))
     removals = equal.groupBy("t_id", "t_th").agg(F.collect_list("t_k").alias("t_removed"))
 
-    packed = docs.select(*[c.alias(name) for name, c in keys.items()], F.col(text_col).alias("t_text"), F.struct("*").alias("t_row"))
+    # the other columns travel under names of our own
+    own = {c: f"t_column_{k}" for k, c in enumerate(docs.columns) if c != text_col}
+    packed = docs.select(*[c.alias(name) for name, c in keys.items()], F.col(text_col).alias("t_text"), *[F.col(c).alias(name) for c, name in own.items()])
     joined = chunked(packed.join(removals, ["t_id", "t_th"], "left"), long_line, lines_per_chunk)
     ends = lambda k: F.coalesce(F.get("t_starts", k + 1), F.size("t_lines"))
     stays = F.array_except(F.sequence(F.lit(0), F.size("t_starts") - 1), F.coalesce("t_removed", F.array().cast("array<int>")))
@@ -72,7 +74,7 @@ def remove_repeated_chunks(docs: DataFrame, long_line: int = 120, lines_per_chun
     lines = F.aggregate("t_stays", F.lit(0), lambda n, k: n + ends(k) - F.get("t_starts", k))
     joined = _barrier(joined, t_new=F.when(F.col("t_removed").isNull(), F.col("t_text")).otherwise(F.array_join(kept, "\n")), t_kept=lines.cast("long"))
     new = {text_col: F.col("t_new")} | ({"n_chars": F.length("t_new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    columns = [new.get(c, F.col("t_row")[c]).alias(c) for c in docs.columns]
+    columns = [(new[c] if c in new else F.col(own[c])).alias(c) for c in docs.columns]
     return joined.select(*columns, (F.size("t_lines") - F.col("t_kept")).alias("lines_removed"), F.col("t_kept").alias("lines_kept"))
 
 
