@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, texts
+from tidemark.llm.common import crc_mod, small_batches, texts
 from tidemark.llm.labelled import labelled_sample
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BOOST = range(7)
@@ -67,8 +67,8 @@ def target(state: int, symbol: int) -> tuple[int, bool]:
 
 
 def boost(state: int, symbol: int) -> tuple[int, bool]:
-    """Transducer: a boost strengthens the attack right after it."""
-    return int(symbol == BOOST), bool(state)
+    """Transducer: a boost strengthens an attack within the next two words."""
+    return (2 if symbol == BOOST else max(0, state - 1)), state > 0
 
 
 PARTS = (negation, report, target, boost)
@@ -319,6 +319,7 @@ def matches(docs: DataFrame, grammar: ToxicityGrammar, id_col: str = "doc_id", t
 
 def accepted(docs: DataFrame, grammar: ToxicityGrammar, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     @F.pandas_udf("double")
