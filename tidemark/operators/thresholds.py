@@ -69,16 +69,24 @@ def nearest_threshold(swept: DataFrame, optimum: float) -> DataFrame:
     return swept.agg(F.min_by(F.struct(*swept.columns), F.struct(F.abs(F.col("threshold") - optimum), F.col("threshold"))).alias("r")).select("r.*")
 
 
-def curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def curve(df: DataFrame, score: str = "score", label: str = "label", cells: int = 4096) -> DataFrame:
     """Cumulative counts at every distinct score, highest first: the points of ROC and precision-recall curves.
 
-    Scores are summed to distinct values first, so the ordered window sees at most as many rows as there are values.
+    Prefix sums in two levels: scores are summed to distinct values, these fall into at most ``cells`` ranges of equal width whose totals one
+    small window adds up, and within a range a window per range does. No task ever sees all distinct scores.
     """
     points = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
-    down, all_rows = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    tp, fp = F.sum("pos").over(down), F.sum("neg").over(down)
-    n_pos, n_neg = F.sum("pos").over(all_rows), F.sum("neg").over(all_rows)
-    return points.select("threshold", "pos", "neg", tp.alias("tp"), fp.alias("fp"), ratio(tp, n_pos).alias("tpr"), ratio(fp, n_neg).alias("fpr"), ratio(tp, tp + fp).alias("precision"))
+    ends = F.broadcast(points.agg(F.min("threshold").alias("_lo"), F.max("threshold").alias("_hi")))
+    place = F.floor(F.coalesce(ratio(F.col("threshold") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * (cells - 1)).cast("int")
+    placed = points.crossJoin(ends).withColumn("_cell", place).drop("_lo", "_hi")
+    higher, everything = Window.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    totals = placed.groupBy("_cell").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    before = lambda c: F.coalesce(F.sum(c).over(higher), F.lit(0))
+    totals = totals.select("_cell", before("_p").alias("_p0"), before("_n").alias("_n0"), F.sum("_p").over(everything).alias("_pos"), F.sum("_n").over(everything).alias("_neg"))
+    down = Window.partitionBy("_cell").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(F.broadcast(totals), "_cell")
+    tp, fp = F.col("_p0") + F.sum("pos").over(down), F.col("_n0") + F.sum("neg").over(down)
+    return joined.select("threshold", "pos", "neg", tp.alias("tp"), fp.alias("fp"), "_pos", "_neg").select("threshold", "pos", "neg", "tp", "fp", ratio(F.col("tp"), F.col("_pos")).alias("tpr"), ratio(F.col("fp"), F.col("_neg")).alias("fpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
