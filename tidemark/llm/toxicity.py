@@ -216,19 +216,15 @@ def _copies_aside(sample: DataFrame) -> list[int]:
     return kept
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, fit_rows: int = 12_000, terminals: int = 4000) -> ToxicityGrammar:
-    """Learn insult terminals (``terminals`` at most, the most telling ones) and the curve."""
-    spark = docs.sparkSession
-    seed = {w: 1.0 for w in SEED_INSULTS.split()}
-    sample = labelled_sample(docs, labels, label, F.lit(True) if learn is None else learn, fit_rows)
-    kept = spark.sparkContext.broadcast(frozenset(_copies_aside(sample)))
+def _telling(sample: DataFrame, kept, grammar: ToxicityGrammar | None, most_clean: float, terminals: int) -> tuple[int, int, list]:
+    """Clean and toxic documents that ``grammar`` does not match yet, and the lexemes found in at least four of the toxic ones and in few clean ones."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        rows = Counter()
+        rows, lexer = Counter(), grammar.lexer() if grammar else None
         for batch in batches:
             for doc, text, mark in zip(batch["doc_id"], batch["text"], batch["label"]):
-                if doc in kept.value:
+                if doc in kept.value and (lexer is None or not lexer.weight(text)):
                     found[min(1, mark)].update(_lexemes(text))
                     rows[min(1, mark)] += 1
         found[0][""], found[1][""] = rows[0], rows[1]
@@ -236,29 +232,40 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
         yield pd.DataFrame({"lexeme": names, "clean": [found[0][w] for w in names], "toxic": [found[1][w] for w in names]})
 
     counts = sample.mapInPandas(count, "lexeme string, clean long, toxic long").groupBy("lexeme").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    total = counts.filter(F.col("lexeme") == "").first()
-    clean, toxic = (total["clean"], total["toxic"]) if total else (0, 0)
-    if not clean or not toxic:
-        return ToxicityGrammar(seed, {})
-    base = toxic / (toxic + clean)
-    telling = counts.filter((F.col("lexeme") != "") & (F.col("toxic") >= 4) & (F.col("clean") <= F.col("toxic")))
-    telling = telling.orderBy(F.desc(F.col("toxic") - F.col("clean")), "lexeme").limit(terminals).collect()
+    some = counts.filter((F.col("lexeme") == "") | (F.col("toxic") >= 4) & (F.col("clean") <= most_clean * F.col("toxic")))
+    rows = some.orderBy(F.col("lexeme") != "", F.desc(F.col("toxic") - F.col("clean")), "lexeme").limit(terminals + 1).collect()
+    totals = [r for r in rows if r["lexeme"] == ""]
+    return (totals[0]["clean"], totals[0]["toxic"], [r for r in rows if r["lexeme"]]) if totals else (0, 0, [])
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, fit_rows: int = 12_000, terminals: int = 4000) -> ToxicityGrammar:
+    """Learn insult terminals (``terminals`` at most, the most telling ones) and the curve."""
+    spark = docs.sparkSession
+    seed = {w: 1.0 for w in SEED_INSULTS.split()}
+    sample = labelled_sample(docs, labels, label, F.lit(True) if learn is None else learn, fit_rows)
+    kept = spark.sparkContext.broadcast(frozenset(_copies_aside(sample)))
+
     words, stems = dict(seed), {}
-    taken: dict[str, int] = {}
-    for lexeme, n_clean, n_toxic in sorted(telling, key=lambda r: (-len(r[0]), r[0])):
-        # chance that so many of the documents with it are toxic by the base rate alone, for a hundred thousand candidates
-        n = n_clean + n_toxic
-        log_p = math.lgamma(n + 1) - math.lgamma(n_clean + 1) - math.lgamma(n_toxic + 1) + n_toxic * math.log(base) + n_clean * math.log(1 - base)
-        name = lexeme.rstrip("*")
-        # a stem that one longer terminal already covers adds nothing but accidents
-        if n_toxic < base * n or log_p >= math.log(1e-7) or lexeme != name and taken.get(name, 0) >= 0.9 * n_toxic:
-            continue
-        weight = max(0.2, 0.4 * (math.log((n_toxic + 0.5) / (n_clean + 0.5)) - 0.5))
-        (words if lexeme == name else stems)[name] = weight
-        for k in range(3, len(name)):
-            taken[name[:k]] = max(taken.get(name[:k], 0), n_toxic)
-        if lexeme == name:
-            taken[name] = max(taken.get(name, 0), n_toxic)
+    # first what is (almost) never clean; then, in documents without any of it, weaker evidence
+    for most_clean in (0.05, 1.0):
+        clean, toxic, telling = _telling(sample, kept, ToxicityGrammar(words, stems) if stems or len(words) > len(seed) else None, most_clean, terminals)
+        if not clean or not toxic:
+            if most_clean < 1:
+                return ToxicityGrammar(seed, {})
+            break
+        base, taken = toxic / (toxic + clean), {}
+        for lexeme, n_clean, n_toxic in sorted(telling, key=lambda r: (-len(r[0]), r[0])):
+            # chance that so many of the documents with it are toxic by the base rate alone, for a hundred thousand candidates
+            n = n_clean + n_toxic
+            log_p = math.lgamma(n + 1) - math.lgamma(n_clean + 1) - math.lgamma(n_toxic + 1) + n_toxic * math.log(base) + n_clean * math.log(1 - base)
+            name = lexeme.rstrip("*")
+            # a stem that one longer terminal already covers adds nothing but accidents
+            if n_toxic < base * n or log_p >= math.log(1e-7) or lexeme != name and taken.get(name, 0) >= 0.9 * n_toxic:
+                continue
+            weight = max(0.2, 0.4 * (math.log((n_toxic + 0.5) / (n_clean + 0.5)) - 0.5))
+            (words if lexeme == name else stems)[name] = weight
+            for k in range(3, len(name) + (lexeme == name)):
+                taken[name[:k]] = max(taken.get(name[:k], 0), n_toxic)
     grammar = ToxicityGrammar(words, stems)
     shared = spark.sparkContext.broadcast(grammar)
 
