@@ -66,6 +66,16 @@ def safe_round(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits) + F.lit(0.0)
 
 
+def percent(x: Column, digits: int = 3) -> Column:
+    """A share as text, in per cent."""
+    return F.format_string(f"%.{digits}f%%", F.round(x * 100, digits))
+
+
+def title(name: Column) -> Column:
+    """``some_name`` as ``Some Name``."""
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
 @F.pandas_udf(DoubleType())
 def norm_cdf(x: pd.Series) -> pd.Series:
     """Standard normal distribution function; neither engine has erf."""

@@ -216,5 +216,28 @@ def sampling_efficiency(actors: DataFrame, budgets: list[int], trials: int, labe
     return means.withColumn("reduction", 1 - ratio(F.col("weighted_width"), F.col("uniform_width")))
 
 
+def simulate_arms(spark: SparkSession, n: int, arms: dict[str, float], prevalence: float = 0.01, seed: int = 42) -> DataFrame:
+    """item_id, arm, score: Beta(10 t, 10 (1 - t)) scores, t the arm's mean for harmful items and a tenth of it for others."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            score = np.empty(len(batch))
+            for at, (item, arm, harmful) in enumerate(zip(batch["item_id"], batch["arm"], batch["harmful"])):
+                t = arms[arm] if harmful else arms[arm] / 10
+                score[at] = np.random.default_rng((seed, sorted(arms).index(arm), int(item))).beta(10 * t, 10 * (1 - t))
+            yield batch.assign(score=score)
+
+    names = F.array(*[F.lit(a) for a in sorted(arms)])
+    rows = spark.range(n).withColumnRenamed("id", "item_id").select("item_id", F.explode(names).alias("arm")).withColumn("harmful", _draw(F.col("item_id"), seed, "y") < prevalence)
+    return rows.mapInPandas(run, "item_id long, arm string, harmful boolean, score double")
+
+
+def signal_hits(ids: DataFrame, prevalence: float, tpr: float, fpr: float, seed: int = 42) -> DataFrame:
+    """``ids`` (item_id) with true_label and an off-platform ``hit``."""
+    key = F.col("item_id")
+    labelled = ids.withColumn("true_label", _draw(key, seed, "y") < prevalence)
+    return labelled.withColumn("hit", _draw(key, seed, "h") < F.when(F.col("true_label"), tpr).otherwise(fpr))
+
+
 def with_seed(config: SimulationConfig, seed: int) -> SimulationConfig:
     return replace(config, random_seed=seed)

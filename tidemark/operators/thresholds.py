@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.columns import ratio
+from tidemark.functions.columns import clamp, hash_uniform, ratio
 
 
 def rates(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Column]:
@@ -100,3 +100,17 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "label")
     """Sum over distinct scores of the recall gained times the precision there; null without positives."""
     c = curve(df, score, label)
     return c.agg(ratio(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")).alias("average_precision"))
+
+
+def label_metrics(df: DataFrame, predicted: str, label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """Confusion counts and rates of a predicted boolean against the label; rows with a null of either do not count."""
+    hit, y = F.col(predicted), F.col(label)
+    counts = df.filter(hit.isNotNull() & y.isNotNull()).groupBy(*(by or [])).agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & ~y).alias("tn"), F.count_if(~hit & y).alias("fn"))
+    return _with_rates(counts)
+
+
+def prompt_sensitivity(df: DataFrame, variants: DataFrame, key: str, threshold: float = 0.5, score: str = "score", label: str = "label", seed: str = "noise") -> DataFrame:
+    """Metrics of every variant (variant, bias, noise): the score shifted by its bias and by a hashed noise of that half-width, kept within [0, 1]."""
+    wobble = (hash_uniform(F.concat_ws("|", F.col(key).cast("string"), "variant"), seed) * 2 - 1) * F.col("noise")
+    moved = df.crossJoin(F.broadcast(variants)).withColumn("_moved", clamp(F.col(score) + F.col("bias") + wobble))
+    return metrics_at(moved, threshold, ["variant"], "_moved", label)

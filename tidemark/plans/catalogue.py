@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import hash_uniform, ratio, safe_round, z_value
+from tidemark.functions.columns import hash_uniform, percent, ratio, safe_round, title, z_value
 from tidemark.operators import actors as A
 from tidemark.operators import bayes, calibration, classify, estimators, experiment, funnel, monitor, networks, sampling, simulate, thresholds
 from tidemark.plans import enforcement_gap, rollup, sampling_frame
@@ -850,6 +850,48 @@ def union_populations(spark, sf):
     return both.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("label_metrics", with_ctes(f"SELECT harm_vertical, tp, fp, tn, fn, {RATES} FROM (SELECT harm_vertical, count(*) FILTER (WHERE detected_b AND label) AS tp, count(*) FILTER (WHERE detected_b AND NOT label) AS fp, count(*) FILTER (WHERE NOT detected_b AND NOT label) AS tn, count(*) FILTER (WHERE NOT detected_b AND label) AS fn FROM scored GROUP BY ALL)", "scored"))
+def label_metrics(spark, sf):
+    return rounded(thresholds.label_metrics(_scored(spark, sf), "detected_b", "label", ["harm_vertical"]))
+
+
+VARIANTS = (("plain", 0.0, 0.0), ("strict", -0.1, 0.05), ("lenient", 0.1, 0.05))
+VARIANT_ROWS = ", ".join(f"('{n}', {b!r}::DOUBLE, {w!r}::DOUBLE)" for n, b, w in VARIANTS)
+MOVED = f"greatest(0, least(1, score + bias + (('0x' || substr(md5(event_id::VARCHAR || '|' || variant || 'noise'), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 2 - 1) * noise))"
+
+
+@query("prompt_sensitivity", with_ctes(f", mv AS (SELECT variant, label, {MOVED} AS m FROM scored, (VALUES {VARIANT_ROWS}) v(variant, bias, noise)) SELECT variant, tp, fp, tn, fn, {RATES} FROM (SELECT variant, count(*) FILTER (WHERE m >= 0.5 AND label) AS tp, count(*) FILTER (WHERE m >= 0.5 AND NOT label) AS fp, count(*) FILTER (WHERE m < 0.5 AND NOT label) AS tn, count(*) FILTER (WHERE m < 0.5 AND label) AS fn FROM mv GROUP BY ALL)", "scored"))
+def prompt_sensitivity(spark, sf):
+    variants = spark.createDataFrame(VARIANTS, "variant string, bias double, noise double")
+    return rounded(thresholds.prompt_sensitivity(_scored(spark, sf), variants, "event_id"))
+
+
+@query("formatted_report", with_ctes("SELECT upper(substr(harm_vertical, 1, 1)) || lower(substr(harm_vertical, 2)) AS vertical, printf('%.3f%%', round(avg(detected_a::INT) * 100, 3)) AS flag_rate FROM scored GROUP BY harm_vertical", "scored"))
+def formatted_report(spark, sf):
+    rates = _scored(spark, sf).groupBy("harm_vertical").agg(F.avg(F.col("detected_a").cast("double")).alias("r"))
+    return rates.select(title(F.col("harm_vertical")).alias("vertical"), percent(F.col("r")).alias("flag_rate"))
+
+
+@query("simulated_arms")
+def simulated_arms(spark, sf):
+    return rounded(experiment.proxy_metrics(simulate.simulate_arms(spark, 2000, {"control": 0.6, "treatment": 0.7}, 0.1), "arm", "score"))
+
+
+@query("signal_hits", f"WITH t AS (SELECT item_id, {_draw_sql(chr(39) + '42:' + chr(39) + ' || item_id::VARCHAR', 'y')} < 0.01 AS true_label FROM range(20000) r(item_id)), h AS (SELECT *, {_draw_sql(chr(39) + '42:' + chr(39) + ' || item_id::VARCHAR', 'h')} < CASE WHEN true_label THEN 0.65 ELSE 0.04 END AS hit FROM t) SELECT hit, count(*) AS n, {_r('avg(true_label::INT)', 'rate')} FROM h GROUP BY hit")
+def signal_hits(spark, sf):
+    hits = simulate.signal_hits(spark.range(20_000).withColumnRenamed("id", "item_id"), 0.01, 0.65, 0.04)
+    return rounded(hits.groupBy("hit").agg(F.count("*").alias("n"), F.avg(F.col("true_label").cast("double")).alias("rate")))
+
+
+@query("flattened_flags", "SELECT count(*) FILTER (WHERE o_totalprice > 250000) AS is_high, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS is_urgent FROM orders")
+def flattened_flags(spark, sf):
+    from tidemark.sources.tables import flag_columns, flatten_flags
+
+    nested = _flags(spark, sf).select("o_orderkey", F.struct("is_high", "is_urgent").alias("category"))
+    flat = flatten_flags(nested)
+    return flat.agg(*[F.count_if(c).alias(c) for c in flag_columns(flat)])
+
+
 # ---- classification ----------------------------------------------------------------------------------------
 
 PRICE_ROWS = ", ".join(f"('{p}', '{classify.DEFAULT_MODELS[p]}', {a!r}::DOUBLE, {b!r}::DOUBLE)" for p, (a, b) in classify.PRICES.items())
