@@ -34,13 +34,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._scratch_path = path
+    return kept
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder through Hadoop's file system layer."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+def drop_scratch(table: DataFrame) -> None:
+    """Remove the files of a materialised table that nothing reads any more."""
+    _delete(table.sparkSession, table._scratch_path)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this session's shared folder, once the results that read them are written."""
+    _delete(spark, f"{shared_dir(spark)}/tidemark")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import drop_scratch, materialise
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -22,8 +22,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     stars = materialise(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), name)
     seen = _state(stars)
     while seen[0]:
-        stars = materialise(_small_star(_large_star(stars)), name)
+        before, stars = stars, materialise(_small_star(_large_star(stars)), name)
         now = _state(stars)
+        drop_scratch(before)
         if now == seen:
             break
         seen = now
