@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shuffle_partitions, texts
+from tidemark.llm.common import shuffle_partitions, small_batches, texts
 from tidemark.llm.word_tokens import tokenised
 
 _BLOCK = 512
@@ -110,7 +110,7 @@ def _cuts(docs: DataFrame, parts: int) -> list[int]:
     return sorted(set(found))
 
 
-def write_token_codes(docs: DataFrame, path: str, vocabulary: str, end_id: int | None, chunk_bits: int = 8, segment_tokens: int = 1 << 20, docs_per_part: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_codes(docs: DataFrame, path: str, vocabulary: str, end_id: int | None, chunk_bits: int = 8, segment_tokens: int = 1 << 16, docs_per_part: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode the texts of ``docs`` and write them at ``path`` in ascending doc_id order.
 
     One shuffle: texts are tokenised where they are read, then their ids move to
@@ -121,7 +121,9 @@ def write_token_codes(docs: DataFrame, path: str, vocabulary: str, end_id: int |
     cuts = _cuts(docs.select(F.col(id_col).cast("long").alias("doc_id")), max(shuffle_partitions(spark), -(-docs.count() // docs_per_part)))
     placed = tokenised(texts(docs, id_col, text_col), vocabulary, end_id, cuts)
     placed = placed.repartition(max(len(cuts) + 1, shuffle_partitions(spark)), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
-    placed.mapInPandas(_segments(chunk_bits, segment_tokens), SEGMENTS).write.parquet(f"{path}/segments")
+    # payloads are long rows: look at the page size after every few of them, so that a writer holds little
+    writer = placed.mapInPandas(_segments(chunk_bits, segment_tokens), SEGMENTS).write
+    writer.options(**{"parquet.page.size.row.check.min": "4", "parquet.block.size": str(16 << 20)}).parquet(f"{path}/segments")
     written = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
     # as many rows as parts, whatever the size of the corpus within them
     sizes = written.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
@@ -158,6 +160,7 @@ def _segments(chunk_bits: int, segment_tokens: int):
 
 def open_segments(spark: SparkSession, path: str) -> DataFrame:
     """The segments of a token file with ``start``: ids of the whole file before each."""
+    small_batches(spark)
     manifest = spark.read.schema("part int, base long").parquet(f"{path}/manifest")
     segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
     return segments.join(F.broadcast(manifest), "part").withColumn("start", F.col("base") + F.col("start_in_part"))
