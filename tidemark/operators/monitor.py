@@ -83,3 +83,12 @@ def weekly_volumes(df: DataFrame, sampled: int = 2000, corpus: int = 100_000, en
     detections = (F.col("n1") / sampled * corpus).cast("long")
     out = df.withColumn("detections_week", detections).withColumn("enforcement_week", (F.col("detections_week") * F.lit(enforced)).cast("long"))
     return out.withColumn("enforcement_rate", F.col("enforcement_week") / F.greatest(F.col("detections_week"), F.lit(1)))
+
+
+def executive_summary(df: DataFrame, x: str, order: str, size: int = 4) -> DataFrame:
+    """Mean of the last ``size`` rows, change against those before, anomalies among the last and over all rows."""
+    scored = rolling_zscore(df, x, order)
+    ranked = scored.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(order))))
+    recent, prior = F.col("_r") <= size, (F.col("_r") > size) & (F.col("_r") <= 2 * size)
+    mean = lambda where: F.avg(F.when(where, F.col(x)))
+    return ranked.agg(mean(recent).alias("avg_recent"), (mean(recent) - mean(prior)).alias("delta"), F.count_if(recent & F.col("anomaly")).alias("anomalies_recent"), F.count_if("anomaly").alias("anomalies"), F.count("*").alias("n"))

@@ -315,6 +315,15 @@ def ci_width_curve(spark, sf):
     return rounded(grid.select("prevalence", "n", estimators.wilson(p * n, n)["ci_width"].alias("direct_width"), estimators.rogan_gladen(p * 0.75 + 0.05, F.lit(0.8), F.lit(0.05), n)["ci_width"].alias("adjusted_width")))
 
 
+@query("sql_functions", with_ctes(f", {COUNTS} SELECT harm_vertical, {_r('(n1 / n - 0.1) / 0.5', 'rogan_gladen')}, {_r('(n1 + 1) * (n2 + 1) / (m + 1) - 1', 'chapman_n')} FROM k", "scored"))
+def sql_functions(spark, sf):
+    from tidemark.functions.registry import register
+
+    register(spark)
+    g = _grouped(spark, sf)
+    return rounded(g.select("harm_vertical", F.expr("rogan_gladen(n1 / n, 0.6D, 0.1D)").alias("rogan_gladen"), F.expr("chapman_n(n1, n2, m)").alias("chapman_n")))
+
+
 # ---- thresholds and calibration ----------------------------------------------------------------------------
 
 RATES = ", ".join(
@@ -632,6 +641,11 @@ def last4_vs_prior4(spark, sf):
     return rounded(monitor.last_against_prior(_series(spark, sf), ["x"], "week"))
 
 
+@query("executive_summary", f"WITH {SERIES}, r AS (SELECT *, avg(x) OVER w AS m, CASE WHEN count(x) OVER w >= 3 THEN greatest(stddev_samp(x) OVER w, 1e-6) END AS s, row_number() OVER (ORDER BY week DESC) AS k FROM ws WINDOW w AS (ORDER BY week ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)), z AS (SELECT *, coalesce(abs((x - m) / s) > 2, FALSE) AS a FROM r) SELECT {_r('avg(x) FILTER (WHERE k <= 4)', 'avg_recent')}, {_r('avg(x) FILTER (WHERE k <= 4) - avg(x) FILTER (WHERE k BETWEEN 5 AND 8)', 'delta')}, count(*) FILTER (WHERE k <= 4 AND a) AS anomalies_recent, count(*) FILTER (WHERE a) AS anomalies, count(*) AS n FROM z")
+def executive_summary(spark, sf):
+    return rounded(monitor.executive_summary(_series(spark, sf), "x", "week"))
+
+
 @query("flagged_weeks", f"WITH {SERIES} SELECT min(week) AS first, max(week) AS last, count(*) AS n FROM ws WHERE x > 0.16")
 def flagged_weeks(spark, sf):
     found = monitor.flagged_weeks(_series(spark, sf).withColumn("flag", F.col("x") > 0.16), "flag", "week")
@@ -792,9 +806,9 @@ e AS (SELECT 'direct' AS method, k / n AS e, (k + {Z} * {Z} / 2 - {Z} * sqrt(k *
 SELECT method, {_r('avg((0.02 BETWEEN greatest(0, lo) AND least(1, hi))::INT)', 'coverage')}, {_r('sqrt(avg(pow(e - 0.02, 2)))', 'rmse')}, {_r('avg(e - 0.02)', 'bias')} FROM e GROUP BY method"""
 
 
-@query("coverage_simulation", _sim_sql(100, 2000))
+@query("coverage_simulation", _sim_sql(500, 2000))
 def coverage_simulation(spark, sf):
-    trials = simulate.run_coverage_simulation(spark, CONFIG, n_trials=100, sample_size=2000)
+    trials = simulate.run_coverage_simulation(spark, CONFIG, n_trials=500, sample_size=2000)
     return rounded(simulate.coverage_summary(trials, CONFIG.true_prevalence))
 
 
