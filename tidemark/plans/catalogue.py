@@ -906,6 +906,19 @@ def flattened_flags(spark, sf):
     return flat.agg(*[F.count_if(c).alias(c) for c in flag_columns(flat)])
 
 
+@query("stream_weekly_observed", with_ctes(f", {OBSERVED} SELECT week, harm_vertical, n_corpus, round(q * n_corpus)::BIGINT AS n_positive, {_r('q', 'observed_positive_rate')} FROM o", "content_items"))
+def stream_weekly_observed(spark, sf):
+    """The weekly rate as a stream run to its end; the sink holds one row a week and vertical."""
+    import uuid
+
+    from tidemark.streaming.weekly import weekly_observed
+
+    name = f"weekly_{uuid.uuid4().hex}"
+    run = weekly_observed(adapters.streamed_items(spark, sf)).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return rounded(spark.table(name))
+
+
 # ---- classification ----------------------------------------------------------------------------------------
 
 PRICE_ROWS = ", ".join(f"('{p}', '{classify.DEFAULT_MODELS[p]}', {a!r}::DOUBLE, {b!r}::DOUBLE)" for p, (a, b) in classify.PRICES.items())

@@ -19,7 +19,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def content_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item an order: score is the cubed price share, vertical the priority, a fifth is reviewed."""
-    o = read(spark, sf_dir, "orders")
+    return items_of(read(spark, sf_dir, "orders"))
+
+
+def streamed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream over the files of the order table."""
+    schema = read(spark, sf_dir, "orders").schema
+    return items_of(spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir))
+
+
+def items_of(o: DataFrame) -> DataFrame:
     x = F.col("o_totalprice") / 500000
     score = x * x * x
     tier = F.when(score >= 0.5, "high").when(score >= 0.125, "medium").otherwise("low")
