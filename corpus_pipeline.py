@@ -23,8 +23,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated chunks of lines; every document stays."""
-    return line_dedup.remove_repeated_chunks(docs).drop("lines_removed", "lines_kept")
+    """Remove repeated passages of lines; every document stays."""
+    return line_dedup.remove_repeated_passages(docs).drop("lines_removed", "lines_kept")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -307,6 +307,44 @@ def test_line_dedup_plan_has_no_python(spark, edge):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
 
 
+def slow_passages(docs, long_line=120):
+    first, split = {}, {d: t.split("\n") for d, t in docs}
+    units = [(d, k, n, tuple(x[k : k + n])) for d, x in sorted(split.items()) for k in range(len(x)) for n in (1, 2) if k + n <= len(x) and (n == 2 or len(x[k]) >= long_line)]
+    gone = set()
+    for d, k, n, unit in units:
+        a, b = first.setdefault(unit, (d, k))
+        if a != d or k - b >= n:
+            gone |= {(d, k + i) for i in range(n)}
+    return {d: "\n".join(v for k, v in enumerate(x) if (d, k) not in gone) for d, x in split.items()}
+
+
+def test_whole_repeated_passages_go(spark):
+    rng = random.Random(9)
+    passages = [[f"passage {p} line {k} " + "w " * rng.choice([0, 5, 20, 90]) for k in range(n)] for p, n in enumerate([2, 3, 4, 8, 50])]
+    docs = []
+    for k in range(40):
+        lines = [f"own {k} {i}" for i in range(6)] + ["a"] * rng.randint(0, 4)
+        docs.append((k, "\n".join(lines[:3] + passages[k % 5] + lines[3:])))
+    df = spark.createDataFrame([(k, t, 9, "x") for k, t in docs] + [(50, None, 0, "x"), (51, "", 0, "x")], "doc_id long, text string, n_chars int, t_lines string").repartition(5)
+    out = line_dedup.remove_repeated_passages(df)
+    got = {r.doc_id: r for r in out.collect()}
+    want = slow_passages(docs)
+    assert {k: r.text for k, r in got.items()} == want | {50: None, 51: ""}
+    assert not any("passage" in want[k] for k in range(5, 40))
+    assert all(r.lines_removed + r.lines_kept == len((dict(docs).get(k) or "").split("\n")) for k, r in got.items())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_pipeline_removes_whole_passages(spark):
+    import corpus_pipeline
+
+    passage = "\n".join(f"shared line {k}" for k in range(7))
+    df = spark.createDataFrame([(k, f"top {k}\n{passage}\nend {k}") for k in range(4)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df, "").collect()}
+    assert got == {0: f"top 0\n{passage}\nend 0"} | {k: f"top {k}\nend {k}" for k in (1, 2, 3)}
+
+
 # ---- 5, 6, 7: classifiers ----
 
 

@@ -83,3 +83,37 @@ def _pieces_of_marks(rows: DataFrame) -> DataFrame:
     ends = F.coalesce(F.get("t_starts", F.col("t_k") + 1), F.size("t_lines"))
     start = F.get("t_starts", F.col("t_k"))
     return rows.select("*", F.inline("t_marks")).select("t_id", "t_th", "t_k", "t_h", "t_is_first", F.array_join(F.slice("t_lines", start + 1, ends - start), "\n").alias("t_chunk"))
+
+
+def remove_repeated_passages(docs: DataFrame, long_line: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without any line that stands in a repeated passage; adds lines_removed and lines_kept (long).
+
+    A passage is two consecutive lines or more, or one line of ``long_line`` characters or more. Every pair of consecutive lines is looked up, so a
+    passage goes whole however it is cut: a line is removed if a pair it belongs to (or the long line itself) has its first
+    occurrence (least id, text hash, position) elsewhere. Occurrences that overlap their first one stay ("a a a" is no repeated "a a"); every removed
+    line has a kept copy before it. Lines are compared by SHA-256, so texts move once only. Other cases as in ``remove_repeated_chunks``.
+    """
+    keys = {"t_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "t_th": F.xxhash64(text_col)}
+    plain = docs.select(*[c.alias(name) for name, c in keys.items()], F.col(text_col).alias("t_text")).filter(F.col("t_text").isNotNull())
+    rows = _barrier(plain, t_lines=F.split("t_text", "\n", -1))
+    rows = _barrier(rows, t_hash=F.transform("t_lines", lambda x: F.sha2(x, 256)), t_long=F.transform("t_lines", lambda x: F.length(x) >= long_line)).drop("t_text", "t_lines")
+    pair = lambda h, k: F.when(k + 1 < F.size("t_hash"), F.struct(k.alias("k"), F.lit(2).alias("n"), F.unhex(F.sha2(F.concat(h, F.get("t_hash", k + 1)), 256)).alias("h")))
+    single = lambda h, k: F.when(F.get("t_long", k), F.struct(k.alias("k"), F.lit(1).alias("n"), F.unhex(h).alias("h")))
+    units = F.filter(F.concat(F.transform("t_hash", pair), F.transform("t_hash", single)), lambda u: u.isNotNull())
+    seen = rows.select("t_id", "t_th", F.inline(units)).withColumnsRenamed({"k": "t_k", "n": "t_n", "h": "t_h"})
+
+    where = F.struct("t_id", "t_th", "t_k")
+    repeated = seen.groupBy("t_h").agg(F.min(where).alias("t_first"), F.max(where).alias("t_last")).filter("t_first < t_last").drop("t_last")
+    apart = (F.col("t_id") != F.col("t_first.t_id")) | (F.col("t_th") != F.col("t_first.t_th")) | (F.col("t_k") - F.col("t_first.t_k") >= F.col("t_n"))
+    later = seen.join(repeated, "t_h").filter(apart).select("t_id", "t_th", F.inline(F.transform(F.sequence(F.col("t_k"), F.col("t_k") + F.col("t_n") - 1), lambda k: F.struct(k.alias("t_k")))))
+    removals = later.groupBy("t_id", "t_th").agg(F.collect_set("t_k").alias("t_removed"))
+
+    own = {c: f"t_column_{k}" for k, c in enumerate(docs.columns) if c != text_col}
+    packed = docs.select(*[c.alias(name) for name, c in keys.items()], F.col(text_col).alias("t_text"), *[F.col(c).alias(name) for c, name in own.items()])
+    joined = _barrier(packed.join(removals, ["t_id", "t_th"], "left"), t_lines=F.split(F.coalesce("t_text", F.lit("")), "\n", -1))
+    joined = _barrier(joined, t_stays=F.array_except(F.sequence(F.lit(0), F.size("t_lines") - 1), F.coalesce("t_removed", F.array().cast("array<int>"))))
+    left = F.array_join(F.transform("t_stays", lambda k: F.get("t_lines", k)), "\n")
+    joined = _barrier(joined, t_new=F.when(F.col("t_removed").isNull(), F.col("t_text")).otherwise(left), t_kept=F.size("t_stays").cast("long"))
+    new = {text_col: F.col("t_new")} | ({"n_chars": F.length("t_new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    columns = [(new[c] if c in new else F.col(own[c])).alias(c) for c in docs.columns]
+    return joined.select(*columns, (F.size("t_lines") - F.col("t_kept")).alias("lines_removed"), F.col("t_kept").alias("lines_kept"))
