@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-equal SimHash fingerprints."""
-    return simhash.keep_one(docs)
+    """Keep one document of each group of near copies: near-equal SimHash fingerprints, or five-word shingles alike to 0.8 or more."""
+    return simhash.keep_one(docs, jaccard=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline's stages on the small tables, each on its own input and all in order."""
 
+import random
 import zlib
 
 import corpus_pipeline
@@ -49,3 +50,28 @@ def test_run_and_extra_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, strange, "/root/testdata/sf0.001").count()
         assert stage(spark, strange.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_near_copies_of_few_replaced_words_go(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(900)]
+    rows, family = [], {}
+    for k in range(60):
+        text = [rng.choice(words) for _ in range(rng.randint(150, 400))]
+        for copy in range(4):
+            changed = list(text)
+            for at in rng.sample(range(len(changed)), copy if copy < 3 else 60):
+                changed[at] = f"changed{rng.random()}"
+            rows.append((len(rows), " ".join(changed), "en", "s", 1))
+            family[len(rows) - 1] = k
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for _, t, *_ in rows]
+    want = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if family[a] == family[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                want = [min(want[a], want[b]) if w in (want[a], want[b]) else w for w in want]
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()}
+    assert got == set(want) and len(got) < 130 and all(4 * k + 3 in got for k in range(60))
+    linked = simhash.near_duplicates(df, jaccard=0.8).collect()
+    assert {r.doc_id: r.component_id for r in linked} == dict(enumerate(want))
