@@ -1,5 +1,6 @@
 """Vector operators against brute force."""
 
+import inspect
 import math
 
 import numpy as np
@@ -83,6 +84,29 @@ def test_dedup_tiles_of_crowded_buckets(spark):
     assert [got[k] for k in range(len(x))] == brute(x, 0.95)[0].tolist()
 
 
+@pytest.mark.parametrize("n", [80_000, 100_000_000])
+def test_bands_keep_their_miss_rate_at_every_size(n):
+    miss = inspect.signature(embedding_dedup.near_duplicates).parameters["miss"].default
+    bands, rng = embedding_dedup.band_plan(n, 64, 0.95, miss, 5), np.random.default_rng(2)
+    x, y = rng.normal(size=(2, 20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= np.einsum("ij,ij->i", x, y)[:, None] * x
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    missed = np.ones(len(x), dtype=bool)
+    for planes in bands:
+        missed &= ((x @ planes.T >= 0) != (y @ planes.T >= 0)).any(1)
+    assert missed.sum() <= 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_dedup_equals_brute_force_as_in_production(spark, seed):
+    x = grouped_vectors(seed + 20, n=1500, d=16, groups=((200, 0.09), (60, 0.06), (40, 0.002)))
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame(spark, x)).collect()}
+    links, label = brute(x, 0.95)
+    assert [got[k].n_links for k in range(len(x))] == links.tolist()
+    assert [got[k].component_id for k in range(len(x))] == label.tolist()
+
+
 def test_dedup_empty(spark):
     assert embedding_dedup.near_duplicates(frame(spark, np.ones((0, 8)))).count() == 0
     assert embedding_dedup.near_duplicates(frame(spark, np.ones((0, 8)), BAD[:2])).count() == 2

@@ -5,7 +5,7 @@ cube) and the correction factor <c, x>. For any other unit vector y, <c, y> / <c
 and its error stays below ``confidence * sqrt((1 - f^2) / f^2 / (bits - 1))`` with high probability; pairs whose
 upper bound misses the threshold are dropped, all others are recomputed exactly in double precision.
 
-Candidates meet in bands of code bits; how many bands there are follows from the band's width and the
+Candidates meet in bands of sign bits, drawn anew for every band; how many bands there are follows from the band's width and the
 accepted ``miss`` rate of a pair at the threshold itself (closer pairs are missed far more rarely).
 
 Dense groups never turn into pairs. Vectors in a crowded band bucket that lie within half the
@@ -57,16 +57,16 @@ class Codes:
         return estimate + (confidence * np.sqrt(np.maximum(0, 1 - factors**2) / factors**2 / (self.bits - 1)))[:, None]
 
 
-def band_plan(n: int, bits: int, cosine: float, miss: float, seed: int) -> list[np.ndarray]:
-    """Bit positions of every band: about 16 random neighbours a bucket, and as many bands as the miss rate asks for."""
+def band_plan(n: int, dimensions: int, cosine: float, miss: float, seed: int) -> list[np.ndarray]:
+    """Random hyperplanes (rows) of every band: about 16 random neighbours a bucket, and as many bands as the miss rate asks for.
+
+    No band shares a hyperplane with another, so for any pair the bands are independent and the miss rate holds at every size.
+    """
     width = int(np.clip(math.ceil(math.log2(max(n, 2))) - 4, 8, 40))
     hit = (1 - math.acos(cosine) / math.pi) ** width
     bands = math.ceil(math.log(miss) / math.log(1 - hit))
     rng = np.random.default_rng(seed)
-    order: list[int] = []
-    while len(order) < bands * width:
-        order += rng.permutation(bits).tolist()
-    return [np.array(order[k * width : (k + 1) * width]) for k in range(bands)]
+    return [rng.normal(size=(width, dimensions)) for _ in range(bands)]
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +75,7 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(unit / scale[:, None]).astype(np.int8), scale
 
 
-def near_duplicates(table: DataFrame, cosine: float = 0.95, bits: int = 256, miss: float = 0.01, confidence: float = 4.0, crowd: int = 16, most_in_bucket: int = 4096, block: int = 1024, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(table: DataFrame, cosine: float = 0.95, bits: int = 256, miss: float = 1e-6, confidence: float = 4.0, crowd: int = 16, most_in_bucket: int = 4096, block: int = 1024, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links (vectors linked directly), component_id (least vec_id reachable), kept."""
     spark = table.sparkSession
     vectors = materialise(usable_vectors(table, id_col, vector_col), "vectors")
@@ -84,7 +84,7 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95, bits: int = 256, mis
     if not n:
         return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     codes = Codes(len(head["v"]), bits, seed)
-    bands = band_plan(n, codes.bits, cosine, miss, seed)
+    bands = band_plan(n, codes.dimensions, cosine, miss, seed)
     shared = spark.sparkContext.broadcast((codes, bands))
     theta, parts = math.acos(cosine), shuffle_partitions(spark)
     near = math.cos(theta / 2)
@@ -95,12 +95,11 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95, bits: int = 256, mis
         return x / np.linalg.norm(x, axis=1)[:, None]
 
     def key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, bands = shared.value
+        _, bands = shared.value
         for batch in batches:
-            packed, _ = codes.encode(unit_of(batch["v"]))
-            signs = np.unpackbits(packed, axis=1)
-            for number, places in enumerate(bands):
-                keys = signs[:, places].astype(np.int64) @ (np.int64(1) << np.arange(len(places), dtype=np.int64))
+            unit = unit_of(batch["v"])
+            for number, planes in enumerate(bands):
+                keys = (unit @ planes.T >= 0).astype(np.int64) @ (np.int64(1) << np.arange(len(planes), dtype=np.int64))
                 yield pd.DataFrame({"band": np.int32(number), "key": keys, "vec_id": batch["vec_id"]})
 
     keys = materialise(vectors.mapInPandas(key_rows, "band int, key long, vec_id long"), "bands")
