@@ -1,5 +1,6 @@
 """Text operators against brute force, on edge cases and on the small tables."""
 
+import inspect
 import random
 import zlib
 
@@ -152,6 +153,15 @@ def test_neighbours_equal_brute_force_bm25():
     assert got == sorted(score, key=lambda k: (-round(score[k], 9), k)) or [round(score[k], 9) for k in got] == sorted((round(s, 9) for s in score.values()), reverse=True)
 
 
+def test_a_whole_document_is_the_query():
+    idf = np.linspace(5, 1, 100)
+    docs = [np.arange(40, dtype="<u4"), np.arange(39, 41, dtype="<u4"), np.arange(60, 70, dtype="<u4")]
+    index = packing.ShardIndex(docs, idf, 20.0)
+    index.unused[0] = False
+    assert index.neighbours(0).tolist() == [1]  # shares the lightest of 40 terms alone
+    assert inspect.signature(packing.pack).parameters["query_terms"].default is None
+
+
 def test_pack_documents(spark, edge, vocabulary, encode):
     rows = packing.pack(edge, vocabulary, 1, window=64).collect()
     assert sum(r.length for r in rows) == sum(len(encode(EDGE_TEXTS[k])) for k in range(len(EDGE_TEXTS))) + len(encode(EDGE_TEXTS[7]))

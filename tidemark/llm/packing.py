@@ -3,13 +3,13 @@
 Documents are tokenised once; document frequencies of all token ids are counted
 over the whole corpus; then every shard (a run of rows of bounded size) builds
 its own BM25 inverted index and packs itself: a seed document opens a window, the
-index returns the unused neighbours of the seed, best first, and they fill the
+index returns the unused neighbours of the seed (whole documents are the queries), best first, and they fill the
 window greedily. The neighbour that reaches the end is cut there; what is left of it seeds
 the next window. Where no unused neighbour shares a query term, the next unused
 document in row order follows. The last window of a shard is cut into powers of two,
 so no sequence needs padding.
 
-Nothing is shuffled but partial document frequencies (one row a token id). A
+A seed never queries another shard: what it can find is limited to its own. Nothing is shuffled but partial document frequencies (one row a token id). A
 shard's memory is bounded by ``shard_tokens`` and ``shard_docs``, plus one document.
 
 Defined cases: null or empty texts hold the end id alone; repeated rows are
@@ -57,7 +57,7 @@ def document_frequencies(tokens: DataFrame) -> dict[int, int]:
 class ShardIndex:
     """BM25 postings of one shard, impact stored per posting; documents that are used leave it."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int | None = None, k1: float = 1.2, b: float = 0.75):
         terms, owners, impacts = [], [], []
         for number, ids in enumerate(docs):
             seen, counts = np.unique(ids, return_counts=True)
@@ -74,9 +74,9 @@ class ShardIndex:
         self.idf, self.query_terms, self.unused = idf, query_terms, np.ones(len(docs), dtype=bool)
 
     def query(self, number: int) -> np.ndarray:
-        """The query of a seed: its ``query_terms`` terms of largest impact."""
+        """The query of a seed: all of its terms, or its ``query_terms`` terms of largest impact."""
         terms, impacts = self.doc_terms[number], self.doc_impacts[number]
-        if len(terms) > self.query_terms:
+        if self.query_terms is not None and len(terms) > self.query_terms:
             terms = terms[np.argpartition(-impacts, self.query_terms)[: self.query_terms]]
         return terms
 
@@ -90,7 +90,7 @@ class ShardIndex:
         return found[np.lexsort((found, -scores[found]))]
 
 
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int, query_terms: int) -> Iterator[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int, query_terms: int | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece of one shard."""
     index = ShardIndex(docs, idf, mean_length, query_terms)
     sequence, room, waiting, ahead = 0, window, [], iter(())
@@ -132,7 +132,7 @@ def _powers(pieces: list, total: int, sequence: int) -> Iterator[tuple[int, int,
                 sequence, offset, room = sequence + 1, 0, 1 << max(0, total.bit_length() - 1)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, query_terms: int = 16, shard_tokens: int = 1 << 22, shard_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, query_terms: int | None = None, shard_tokens: int = 1 << 22, shard_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Pack all documents. Returns pieces with their ids (little-endian unsigned 32-bit), or with the crc32 of those where ``digests``.
 
     Sequence ids are the partition and the sequence within it; the token table is written to the shared
