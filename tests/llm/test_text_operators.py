@@ -247,6 +247,14 @@ def test_near_duplicates_edges(spark, edge):
     assert simhash.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    rows = [(1, "first text of quite other words"), (1, "second text that nobody copies here"), (1, "second text that nobody copies here"), (0, "first text of quite other words")]
+    rows += [(None, "a third one without an id"), (None, "a third one without an id"), (None, "first text of quite other words"), (None, "fourth text none has elsewhere")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in simhash.keep_one(df).collect())
+    assert got == [(-1, "a third one without an id"), (-1, "fourth text none has elsewhere"), (0, "first text of quite other words"), (1, "second text that nobody copies here")]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)

@@ -56,13 +56,13 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed long) of every whole text."""
+    """doc_id, fp (signed long) of every whole text, and t, the hash of the text as it is."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array([fingerprint(t, shingle, seed) for t in batch["text"]], dtype=np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array([fingerprint(t, shingle, seed) for t in batch["text"]], dtype=np.int64), "t": batch["t"]})
 
-    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, fp long")
+    return texts(docs, id_col, text_col).withColumn("t", F.xxhash64("text")).mapInPandas(run, "doc_id long, fp long, t long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -336,29 +336,36 @@ def jaccard_links(docs: DataFrame, jaccard: float, width: int = 5, shingle: int
     return found.unionByName(alike(materialise(rest, "pairs"))).select(F.col("fa").alias("a"), F.col("fb").alias("b")).filter("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, limit: int = 2, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
-    """doc_id, fp, component_id: the least doc_id that links of at most ``limit`` differing bits reach.
-
-    With ``jaccard`` texts that resemble each other so much in their five-word shingles are linked besides.
-    """
+def _rooted(docs: DataFrame, limit: int, shingle: int, seed: int, id_col: str, text_col: str, jaccard: float | None) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows; and fp, least (doc_id), root (a fingerprint that names the group) of the distinct ones."""
     marked = materialise(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     edges = links(distinct, limit)
     if jaccard is not None:
         edges = edges.unionByName(jaccard_links(docs, jaccard, 5, shingle, seed, id_col, text_col))
     groups = connected_components(edges, "simhash")
-    rooted = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    return marked, distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, limit: int = 2, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
+    """doc_id, fp, component_id: the least doc_id that links of at most ``limit`` differing bits reach.
+
+    With ``jaccard`` texts that resemble each other so much in their five-word shingles are linked besides.
+    """
+    marked, rooted = _rooted(docs, limit, shingle, seed, id_col, text_col, jaccard)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, limit: int = 2, shingle: int = 3, seed: int = 42, jaccard: float | None = None) -> DataFrame:
-    """One document of each group: the rows of ``docs`` whose doc_id names its component.
+    """One row of each group: the one with the least doc_id (null ids come last), then the least hash of its text.
 
-    Of repeated rows with that id one stays; rows without a doc_id cannot be named and all stay.
+    Rows are told apart by id and text: one id may stand on several texts. Of rows alike in both one stays.
     """
-    found = near_duplicates(docs, limit, shingle, seed, jaccard=jaccard)
-    stays = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    marked, rooted = _rooted(docs, limit, shingle, seed, "doc_id", "text", jaccard)
+    rows = marked.join(rooted.select("fp", "root"), "fp")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("best")).select(F.col("best.doc_id").alias("_kept_id"), F.col("best.t").alias("_kept_text"))
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_text"))
+    return hashed.join(best, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
