@@ -47,6 +47,18 @@ def test_search(spark):
     assert hits >= 0.9 * 300
 
 
+def test_scan_alone_finds_neighbours_beyond_the_sample(spark):
+    x = np.random.default_rng(1).normal(size=(10_000, 16))
+    table = frame(spark, x)
+    hits = 0
+    for r in ann.search(table, F.col("vec_id") % 200 == 0, k=10, fill=False).groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")).collect():
+        d = ((x - x[r.query_id]) ** 2).sum(1)
+        d[r.query_id] = np.inf
+        hits += len(set(r.ids) & set(np.argsort(d)[:10].tolist()))
+    print("recall of the scan alone", hits / 500)
+    assert hits >= 0.9 * 500
+
+
 def test_search_edges(spark):
     x = np.ones((4, 8))
     rows = ann.search(frame(spark, x, BAD), F.col("vec_id") == 0, k=10).collect()

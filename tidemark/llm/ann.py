@@ -8,8 +8,8 @@ distances so far abandons those whose partial distance is already significantly
 The index (centroids, and how many lists to probe for ``recall``) is fitted on ``fit_rows`` vectors at most, picked by a hash
 of their id; every row is assigned to a list. Large lists are cut into blocks of about ``block_rows`` rows,
 and a query goes to all blocks of the lists it probes, so a list that holds a third of all rows is shared by many tasks.
-A query's threshold is its k-th distance within the fitting sample, an upper bound of the true one, and those k
-sampled neighbours are found in any case, so k rows come back wherever the sample has them.
+A query's threshold is its k-th distance within the fitting sample, an upper bound of the true one. Where the scan finds fewer than k,
+sampled neighbours fill up the rows (unless ``fill`` is off); they never stand in for what the scan has missed.
 
 Defined cases: see ``usable_vectors``; a query's own row is never its neighbour; fewer candidates than k give fewer rows;
 ties go to the smaller vec_id; an empty table gives no rows.
@@ -112,7 +112,7 @@ def scan(queries: np.ndarray, bounds: np.ndarray, candidates: np.ndarray, width:
     return who, which
 
 
-def search(table: DataFrame, is_query: Column, k: int = 10, recall: float = 0.97, block_rows: int = 8192, width: int = 16, significance: float = 2.1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(table: DataFrame, is_query: Column, k: int = 10, recall: float = 0.97, block_rows: int = 8192, width: int = 16, significance: float = 2.1, id_col: str = "vec_id", vector_col: str = "embedding", fill: bool = True) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance in double precision on the original vectors).
 
     ``is_query`` is a predicate over ``vec_id``. Queries and all rows meet list block by list block, never as a whole.
@@ -199,6 +199,10 @@ def search(table: DataFrame, is_query: Column, k: int = 10, recall: float = 0.97
     queries = asked.mapInPandas(deal_queries, "block long, asks boolean, vec_id long, v array<double>, bound double")
     dealt = rows.unionByName(queries).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", "asks")
     hits = "query_id long, vec_id long, score double"
-    found = dealt.mapInPandas(meet, hits).unionByName(asked.mapInPandas(near_sample, hits)).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    scanned = dealt.mapInPandas(meet, hits).withColumn("filler", F.lit(0))
+    if fill:
+        scanned = scanned.unionByName(asked.mapInPandas(near_sample, hits).withColumn("filler", F.lit(1)))
+    found = scanned.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.min("filler").alias("filler"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("filler", "score", "vec_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("place", place).filter(F.col("place") <= k).withColumn("rank", rank).select("query_id", "rank", "vec_id", "score")
