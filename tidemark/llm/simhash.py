@@ -22,7 +22,6 @@ all of it are null; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -30,7 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_scratch, materialise, shuffle_partitions, texts
+from tidemark.llm import resemblance
+from tidemark.llm.common import materialise, shuffle_partitions, texts
 from tidemark.llm.components import connected_components
 
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -55,14 +55,19 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits((2 * counts > n).ravel()).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed long) of every whole text, and t, the hash of the text as it is."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", banded: bool = False) -> DataFrame:
+    """doc_id, fp (signed long) of every whole text, and t, the hash of the text as it is; with ``banded`` keys besides, the bands of its five-word shingles."""
+
+    def keys_of(text: str) -> np.ndarray | None:
+        shingles = resemblance.shingle_set(text)
+        return resemblance.band_keys(shingles) if len(shingles) else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array([fingerprint(t, shingle, seed) for t in batch["text"]], dtype=np.int64), "t": batch["t"]})
+            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array([fingerprint(t, shingle, seed) for t in batch["text"]], dtype=np.int64), "t": batch["t"]})
+            yield out.assign(keys=[keys_of(t) for t in batch["text"]]) if banded else out
 
-    return texts(docs, id_col, text_col).withColumn("t", F.xxhash64("text")).mapInPandas(run, "doc_id long, fp long, t long")
+    return texts(docs, id_col, text_col).withColumn("t", F.xxhash64("text")).mapInPandas(run, "doc_id long, fp long, t long" + ", keys array<long>" * banded)
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -261,88 +266,13 @@ def links(fps: DataFrame, limit: int = 2, leaf_rows: int = 1024, most_leaves: in
     return dealt.mapInPandas(search, "a long, b long")
 
 
-_BANDS, _ROWS = 32, 5  # a pair at Jaccard 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6
-_RNG = np.random.default_rng(17)
-_MIX = _RNG.integers(0, 1 << 63, (2, _BANDS * _ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLD = _RNG.integers(0, 1 << 63, (_BANDS, _ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingle_set(text: str, width: int = 5) -> np.ndarray:
-    """The distinct hashes (unsigned 64-bit) of all runs of ``width`` words; a shorter text is one run, none without words."""
-    from xxhash import xxh64_digest
-
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    line, width = b" ".join(words), min(width, len(words))
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends]
-    return np.unique(np.frombuffer(b"".join([xxh64_digest(line[a : b - 1]) for a, b in zip(starts, ends[width - 1 :])]), dtype=">u8").astype(np.uint64))
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key a band of minima, as signed integers; sets that are alike share some."""
-    least = np.full(_BANDS * _ROWS, ~np.uint64(0))
-    for at in range(0, len(shingles), 2048):
-        least = np.minimum(least, (shingles[at : at + 2048, None] * _MIX[0] + _MIX[1]).min(0))
-    folded = ((least >> np.uint64(7)).reshape(_BANDS, _ROWS) * _FOLD).sum(1, dtype=np.uint64)
-    return (folded ^ (folded >> np.uint64(29))).view(np.int64)
-
-
-def jaccard_links(docs: DataFrame, jaccard: float, width: int = 5, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b: fingerprints of texts whose sets of ``width``-word shingles have a Jaccard similarity of ``jaccard`` or more, compared exactly.
-
-    Candidates share a band of minima. Each text of a bucket is compared with the bucket's least one; what that leaves apart is compared pair
-    by pair, so a large group of near copies costs its size, and only buckets of several groups cost pairs.
-    """
-    base = texts(docs, id_col, text_col).select("text", F.xxhash64("text").alias("t"))
-
-    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [(t, shingle_set(text, width)) for t, text in zip(batch["t"], batch["text"])]
-            sets = [(t, band_keys(s)) for t, s in sets if len(s)]
-            if sets:
-                yield pd.DataFrame({"t": np.repeat(np.array([t for t, _ in sets], dtype=np.int64), _BANDS), "key": np.concatenate([k for _, k in sets])})
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = lru_cache(64)(lambda text: (shingle_set(text, width), fingerprint(text, shingle, seed)))
-        for batch in batches:
-            out = []
-            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
-                (x, fa), (y, fb) = parts(ta), parts(tb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= jaccard * (len(x) + len(y) - both) - 1e-9:
-                    out.append((a, b, fa, fb))
-            yield pd.DataFrame(out, columns=["a", "b", "fa", "fb"]).astype("int64")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
-        held = materialise(base.join(asked, "t", "left_semi").dropDuplicates(["t"]), "candidates")
-        joined = pairs.join(held.select(F.col("t").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("t").alias("b"), F.col("text").alias("tb")), "b")
-        return materialise(joined.mapInPandas(verify, "a long, b long, fa long, fb long"), "alike")
-
-    spots = materialise(base.mapInPandas(bands, "t long, key long"), "bands")
-    buckets = spots.groupBy("key").agg(F.min("t").alias("lead"), F.max("t").alias("last")).filter("lead < last").drop("last")
-    inside = materialise(spots.join(buckets, "key").distinct(), "buckets")
-    drop_scratch(spots)
-    first = materialise(inside.filter("t > lead").select(F.col("lead").alias("a"), F.col("t").alias("b")).distinct(), "pairs")
-    found = alike(first)
-    groups = connected_components(found.select("a", "b"), "alike")
-    placed = inside.join(groups, F.col("t") == F.col("node"), "left").select("key", "t", F.coalesce("component", "t").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("key")
-    still = materialise(placed.join(mixed, "key"), "mixed")
-    other = still.select("key", F.col("t").alias("b"), F.col("part").alias("other"))
-    rest = still.withColumnRenamed("t", "a").join(other, "key").filter("a < b AND part <> other").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    return found.unionByName(alike(materialise(rest, "pairs"))).select(F.col("fa").alias("a"), F.col("fb").alias("b")).filter("a <> b").distinct()
-
-
 def _rooted(docs: DataFrame, limit: int, shingle: int, seed: int, id_col: str, text_col: str, jaccard: float | None) -> tuple[DataFrame, DataFrame]:
     """The fingerprints of all rows; and fp, least (doc_id), root (a fingerprint that names the group) of the distinct ones."""
-    marked = materialise(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
+    marked = materialise(fingerprints(docs, shingle, seed, id_col, text_col, jaccard is not None), "fingerprints")
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     edges = links(distinct, limit)
     if jaccard is not None:
-        edges = edges.unionByName(jaccard_links(docs, jaccard, 5, shingle, seed, id_col, text_col))
+        edges = edges.unionByName(resemblance.resembling(texts(docs, id_col, text_col), marked, jaccard))
     groups = connected_components(edges, "simhash")
     return marked, distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
 
@@ -366,6 +296,8 @@ def keep_one(docs: DataFrame, limit: int = 2, shingle: int = 3, seed: int = 42,
     marked, rooted = _rooted(docs, limit, shingle, seed, "doc_id", "text", jaccard)
     rows = marked.join(rooted.select("fp", "root"), "fp")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("best")).select(F.col("best.doc_id").alias("_kept_id"), F.col("best.t").alias("_kept_text"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_text"))
-    return hashed.join(best, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    place = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    hashed = docs.withColumn("_kept_text", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_null_id", F.col("doc_id").isNull()).withColumn("_kept_id", place("doc_id"))
+    best = best.withColumn("_null_id", F.col("_kept_id").isNull()).withColumn("_kept_id", place("_kept_id"))
+    keys = ["_kept_id", "_kept_text", "_null_id"]
+    return hashed.join(best, keys, "left_semi").dropDuplicates(keys).drop(*keys)
