@@ -163,7 +163,7 @@ def resembling(docs: DataFrame, marked: DataFrame, jaccard: float, width: int =
     joined = connected_components(first, "alike")
     wide = wide.join(joined, F.col("fp") == F.col("node"), "left").select("family", "slots", "slot", "t", "fp", "text", F.coalesce("component", "fp").alias("part"))
     large = wide.groupBy("family", "part").agg(F.count("*").alias("m")).filter(F.col("m") >= block // 8).select("family", "part", F.lit(True).alias("large"))
-    wide = wide.join(large, ["family", "part"], "left").withColumn("whole", F.when("large", F.col("part")))
+    wide = wide.join(large, ["family", "part"], "left").withColumn("whole", F.when(F.col("large"), F.col("part")))
     wide = materialise(wide.withColumn("cell", F.xxhash64("whole", "slot")).drop("large"), "wide")
     cells = wide.select("family", "cell", "whole").distinct()
     other = cells.select("family", F.col("cell").alias("right"), F.col("whole").alias("other"))
