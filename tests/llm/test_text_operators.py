@@ -269,44 +269,61 @@ def test_components(spark, seed):
 # ---- 10: line dedup ----
 
 
-def slow_line_dedup(docs, long_line=120, per_chunk=2):
-    from hashlib import md5
-
-    h = lambda s: md5(s.encode()).hexdigest()
-    seen, out = set(), {}
-    for doc, text in sorted(docs):
-        lines = (text or "").split("\n")
-        hashes, starts = [h(x) for x in lines], [0]
-        for k in range(1, len(lines)):
-            if len(lines[k]) >= long_line or len(lines[k - 1]) >= long_line or int(h((hashes[k - 2] if k >= 2 else "") + hashes[k - 1])[:7], 16) % per_chunk == 0:
-                starts.append(k)
-        kept = []
-        for a, b in zip(starts, [*starts[1:], len(lines)]):
-            chunk = "\n".join(lines[a:b])
-            fit = b - a >= 2 or len(lines[a]) >= long_line
-            if not (fit and chunk in seen):
-                kept.append(chunk)
-            if fit:
-                seen.add(chunk)
-        out[doc] = "\n".join(kept)
+def slow_line_dedup(docs, long_line=120):
+    """The rule, window by window: pairs of consecutive lines that are not blank, and long lines, whose first occurrence is elsewhere."""
+    split = {d: (t or "").split("\n") for d, t in docs}
+    filled = {d: [i for i, x in enumerate(x) if x.strip(" ")] for d, x in split.items()}
+    first, gone = {}, set()
+    for d in sorted(split):
+        lines = [split[d][i] for i in filled[d]]
+        for k in range(len(lines)):
+            for n in (1, 2):
+                if k + n <= len(lines) and (n == 2 or len(lines[k]) >= long_line):
+                    a, b = first.setdefault(tuple(lines[k : k + n]), (d, k))
+                    if a != d or k - b >= n:
+                        gone |= {(d, k + i) for i in range(n)}
+    out = {}
+    for d, x in split.items():
+        owner = [sum(q <= p for q in filled[d]) - 1 for p in range(len(x))]
+        out[d] = "\n".join(v for p, v in enumerate(x) if (d, owner[p]) not in gone)
     return out
 
 
+def check_line_dedup(spark, docs):
+    df = spark.createDataFrame([(k, t, 9, "x") for k, t in docs], "doc_id long, text string, n_chars int, t_lines string").repartition(5)
+    out = line_dedup.remove_repeated_chunks(df)
+    got, want = {r.doc_id: r for r in out.collect()}, slow_line_dedup(docs)
+    assert {k: r.text for k, r in got.items()} == {k: want[k] if t is not None else None for k, t in docs}
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) and r.t_lines == "x" for r in got.values())
+    assert all(r.lines_removed + r.lines_kept == len((dict(docs)[k] or "").split("\n")) for k, r in got.items())
+    assert out.columns == ["doc_id", "text", "n_chars", "t_lines", "lines_removed", "lines_kept"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+    return want
+
+
 def test_line_dedup_equals_the_loop(spark):
     rng = random.Random(4)
-    pool = [f"line {k} " + "w " * rng.choice([1, 3, 80]) for k in range(30)]
+    pool = [f"line {k} " + "w " * rng.choice([1, 3, 80]) for k in range(30)] + ["", " ", ""]
     passage = "\n".join(pool[:6])
     docs = []
     for k in range(60):
-        lines = [rng.choice(pool) if rng.random() < 0.3 else f"own {k} {i}" for i in range(rng.randint(0, 9))]
+        lines = [rng.choice(pool) if rng.random() < 0.4 else f"own {k} {i}" for i in range(rng.randint(0, 9))]
         docs.append((k, "\n".join(lines[:4] + ([passage] if k % 3 == 0 else []) + lines[4:])))
-    df = spark.createDataFrame([(k, t, 9, "x") for k, t in docs], "doc_id long, text string, n_chars int, t_lines string").repartition(5)
-    out = line_dedup.remove_repeated_chunks(df)
-    got = {r.doc_id: r for r in out.collect()}
-    want = slow_line_dedup(docs)
-    assert {k: r.text for k, r in got.items()} == want
-    assert all(r.n_chars == len(r.text) and r.t_lines == "x" for r in got.values())
-    assert out.columns == ["doc_id", "text", "n_chars", "t_lines", "lines_removed", "lines_kept"]
+    check_line_dedup(spark, docs)
+
+
+def test_whole_repeated_passages_go(spark):
+    rng = random.Random(9)
+    passages = [[f"passage {p} line {k} " + "w " * rng.choice([0, 5, 20, 90]) for k in range(n)] for p, n in enumerate([2, 3, 4, 8, 50, 4000])]
+    docs = []
+    for k in range(40):
+        lines = [f"own {k} {i}" for i in range(6)] + ["a"] * rng.randint(0, 4)
+        docs.append((k, "\n".join(lines[:3] + passages[k % 6] + lines[3:])))
+    docs += [(50, None), (51, ""), (52, "one\n\none\n\none\n\none"), (53, "\n \nown 0 0\n\n\nown 0 1\n\nnew")]
+    want = check_line_dedup(spark, docs)
+    assert not any("passage" in want[k] for k in range(6, 40))
+    assert want[52] == "one\n\none\n" and want[53] == "\n \nnew"
 
 
 def test_line_dedup_edges(spark, edge):
@@ -320,38 +337,15 @@ def test_line_dedup_edges(spark, edge):
     assert {r.doc_id: r.text for r in line_dedup.remove_repeated_chunks(twice).collect()} == {1: f"x\n{long}\ny", 2: "p\nq\nr"}
 
 
-def test_line_dedup_plan_has_no_python(spark, edge):
-    plan = line_dedup.remove_repeated_chunks(edge)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
-
-
-def slow_passages(docs, long_line=120):
-    first, split = {}, {d: t.split("\n") for d, t in docs}
-    units = [(d, k, n, tuple(x[k : k + n])) for d, x in sorted(split.items()) for k in range(len(x)) for n in (1, 2) if k + n <= len(x) and (n == 2 or len(x[k]) >= long_line)]
-    gone = set()
-    for d, k, n, unit in units:
-        a, b = first.setdefault(unit, (d, k))
-        if a != d or k - b >= n:
-            gone |= {(d, k + i) for i in range(n)}
-    return {d: "\n".join(v for k, v in enumerate(x) if (d, k) not in gone) for d, x in split.items()}
-
+def test_line_dedup_query_equals_its_sql(spark):
+    import duckdb
 
-def test_whole_repeated_passages_go(spark):
-    rng = random.Random(9)
-    passages = [[f"passage {p} line {k} " + "w " * rng.choice([0, 5, 20, 90]) for k in range(n)] for p, n in enumerate([2, 3, 4, 8, 50])]
-    docs = []
-    for k in range(40):
-        lines = [f"own {k} {i}" for i in range(6)] + ["a"] * rng.randint(0, 4)
-        docs.append((k, "\n".join(lines[:3] + passages[k % 5] + lines[3:])))
-    df = spark.createDataFrame([(k, t, 9, "x") for k, t in docs] + [(50, None, 0, "x"), (51, "", 0, "x")], "doc_id long, text string, n_chars int, t_lines string").repartition(5)
-    out = line_dedup.remove_repeated_passages(df)
-    got = {r.doc_id: r for r in out.collect()}
-    want = slow_passages(docs)
-    assert {k: r.text for k, r in got.items()} == want | {50: None, 51: ""}
-    assert not any("passage" in want[k] for k in range(5, 40))
-    assert all(r.lines_removed + r.lines_kept == len((dict(docs).get(k) or "").split("\n")) for k, r in got.items())
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(queries.LINE_DEDUP_SQL).fetchall()
+    got = queries.op10_line_dedup(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "lines_kept", "lines_removed", "text_md5"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_pipeline_removes_whole_passages(spark):

@@ -1,17 +1,22 @@
 """Removal of repeated multi-line chunks, in DataFrame functions alone.
 
-The lines of a text are hashed; a rolling hash over the hashes of two consecutive lines decides whether a
-chunk ends after the second, so boundaries depend on nearby content only and chunks of a shared passage line up
-again however the texts around it are shifted. A line of ``long_line`` characters or more is a chunk of its own. Chunks of at least two lines, and long
-lines, that occur more than once in the corpus are candidates; every later occurrence is compared byte by byte with the first
-(least id, then position) and removed where they are equal.
-
-Texts move once, to the rows of their own removals. What is counted over the corpus are hashes, summed before they are shuffled;
-for the comparison only candidate chunks move. Hot chunks are joined by Spark's skew join, one row on the other side.
-
-Defined cases: null texts stay null; empty texts stay empty; a text whose chunks are all removed becomes empty; rows alike in id and text are one
-document and treated alike; ties do not arise (id, text hash, position order all occurrences; null ids come first);
-repeated short single lines stay; all columns of the input are kept (``lines`` or other names used inside may occur), ``n_chars`` is brought up to date where it exists.
+The lines of a text are hashed, and a rolling hash runs over each two consecutive line hashes. A chunk begins where the
+rolling hash starts to be one that the corpus holds elsewhere, and ends where it stops to be: boundaries follow from the
+lines beside them alone, so a shared passage gives the same chunk however the texts around it are shifted, and goes whole. A line
+of ``long_line`` characters or more is a chunk even by itself. Of all occurrences the first (least id, text hash, position) stays; the lines of later ones
+are compared byte by byte with all lines of their hash and removed where they are equal. Occurrences that overlap their first
+one stay ("a a a" is no repeated "a a"), so every removed line has a kept copy before it.
+
+Boundaries drawn by a rolling hash alone (every so many lines on average) would leave the ends of each passage in place, and all of a
+passage that holds no whole chunk; here they are drawn by the rolling hash and its recurrence.
+
+What is counted over the corpus are hashes, summed before they are shuffled. Texts move for the comparison and once more to the rows of
+their removals. A hot window meets one row on the other side of its join, which Spark's skew join may split.
+
+Defined cases: null texts stay null; empty texts stay empty; a text whose lines are all removed becomes empty; rows alike in id and text are one
+document and treated alike; null ids come first; ties do not arise (id, text hash and position order all occurrences); lines of blanks are skipped when
+lines are counted as consecutive, stay by themselves, and go with the line before them; repeated short single lines stay; very long texts and lines are read whole; an empty table
+gives an empty table; all columns of the input are kept (names used inside may occur), ``n_chars`` is brought up to date where it exists.
 """
 
 from __future__ import annotations
@@ -19,101 +24,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_HASH = 16  # bytes of a line's hash
+
 
 def _barrier(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later expressions read as they are; Catalyst would otherwise inline them into lambdas and evaluate them per element."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def chunked(rows: DataFrame, long_line: int, lines_per_chunk: int) -> DataFrame:
-    """``rows`` (with ``t_text``) plus t_lines, t_starts: line positions at which chunks start."""
+def _lined(rows: DataFrame) -> DataFrame:
+    """``rows`` (with t_text) plus t_lines and t_at, the positions of lines that are not blank."""
     rows = _barrier(rows, t_lines=F.split(F.coalesce("t_text", F.lit("")), "\n", -1))
-    rows = _barrier(rows, t_hash=F.transform("t_lines", F.md5), t_long=F.transform("t_lines", lambda x: F.length(x) >= long_line))
-
-    def starts_at(i: Column) -> Column:
-        rolled = F.md5(F.concat(F.coalesce(F.get("t_hash", i - 2), F.lit("")), F.get("t_hash", i - 1)))
-        ends = F.conv(F.substring(rolled, 1, 7), 16, 10).cast("int") % lines_per_chunk == 0
-        return (i == 0) | F.get("t_long", i) | F.get("t_long", i - 1) | ends
-
-    return _barrier(rows, t_starts=F.filter(F.sequence(F.lit(0), F.size("t_lines") - 1), starts_at)).drop("t_hash")
+    filled = F.filter(F.sequence(F.lit(0), F.size("t_lines") - 1), lambda i: F.trim(F.get("t_lines", i)) != "")
+    return _barrier(rows, t_at=filled)
 
 
-def _pieces(rows: DataFrame) -> DataFrame:
-    """One row per candidate chunk (two lines or more, or one long line): t_id, t_th, t_k and t_chunk, its text."""
-    spans = F.transform("t_starts", lambda s, k: F.struct(k.alias("k"), s.alias("s"), (F.coalesce(F.get("t_starts", k + 1), F.size("t_lines")) - s).alias("n")))
-    spans = _barrier(rows, t_spans=spans).select("*", F.inline("t_spans"))
-    fit = (F.col("n") >= 2) | F.get("t_long", F.col("s"))
-    return spans.filter(fit).select("t_id", "t_th", F.col("k").alias("t_k"), F.array_join(F.slice("t_lines", F.col("s") + 1, F.col("n")), "\n").alias("t_chunk"))
+def _windows(rows: DataFrame, long_line: int) -> DataFrame:
+    """t_id, t_th, t_k, t_n, t_h: the rolling hash of every two consecutive lines, and the hash of every long line."""
+    lines = F.transform("t_at", lambda i: F.get("t_lines", i))
+    rows = _barrier(_lined(rows), t_full=lines)
+    rows = _barrier(rows, t_hash=F.transform("t_full", lambda x: F.unhex(F.md5(x))), t_long=F.transform("t_full", lambda x: F.length(x) >= long_line)).drop("t_text", "t_lines", "t_full")
+    rolling = lambda h, k: F.when(k + 1 < F.size("t_hash"), F.struct(k.alias("k"), F.lit(2).alias("n"), F.concat(h, F.get("t_hash", k + 1)).alias("h")))
+    alone = lambda h, k: F.when(F.get("t_long", k), F.struct(k.alias("k"), F.lit(1).alias("n"), h.alias("h")))
+    found = F.filter(F.concat(F.transform("t_hash", rolling), F.transform("t_hash", alone)), lambda u: u.isNotNull())
+    return rows.select("t_id", "t_th", F.inline(found)).withColumnsRenamed({"k": "t_k", "n": "t_n", "h": "t_h"})
 
 
-def remove_repeated_chunks(docs: DataFrame, long_line: int = 120, lines_per_chunk: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_chunks(docs: DataFrame, long_line: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated chunks removed from ``text``; adds lines_removed and lines_kept (long)."""
     keys = {"t_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "t_th": F.xxhash64(text_col)}
-    plain = docs.select(*[c.alias(name) for name, c in keys.items()], F.col(text_col).alias("t_text"))
-    where = F.struct("t_id", "t_th", "t_k")
-
-    seen = _pieces(chunked(plain, long_line, lines_per_chunk)).select("t_id", "t_th", "t_k", F.xxhash64("t_chunk").alias("t_h")).distinct()
-    repeated = seen.groupBy("t_h").agg(F.count("*").alias("n"), F.min(where).alias("t_first")).filter(F.col("n") > 1).drop("n")
-    marked = seen.join(repeated, "t_h").select("t_id", "t_th", "t_k", "t_h", (where == F.col("t_first")).alias("t_is_first"))
-    lists = marked.groupBy("t_id", "t_th").agg(F.collect_list(F.struct("t_k", "t_h", "t_is_first")).alias("t_marks"))
-
-    held = plain.dropDuplicates(["t_id", "t_th"]).join(lists, ["t_id", "t_th"])
-    texts = _pieces_of_marks(chunked(held, long_line, lines_per_chunk))
-    first = texts.filter("t_is_first").select("t_h", F.col("t_chunk").alias("t_canon"))
-    equal = texts.filter("NOT t_is_first").join(first, "t_h").filter(F.col("t_chunk") == F.col("t_canon"))
-    removals = equal.groupBy("t_id", "t_th").agg(F.collect_list("t_k").alias("t_removed"))
-
-    # the other columns travel under names of our own
-    own = {c: f"t_column_{k}" for k, c in enumerate(docs.columns) if c != text_col}
-    packed = docs.select(*[c.alias(name) for name, c in keys.items()], F.col(text_col).alias("t_text"), *[F.col(c).alias(name) for c, name in own.items()])
-    joined = chunked(packed.join(removals, ["t_id", "t_th"], "left"), long_line, lines_per_chunk)
-    ends = lambda k: F.coalesce(F.get("t_starts", k + 1), F.size("t_lines"))
-    stays = F.array_except(F.sequence(F.lit(0), F.size("t_starts") - 1), F.coalesce("t_removed", F.array().cast("array<int>")))
-    joined = _barrier(joined, t_stays=stays)
-    kept = F.transform("t_stays", lambda k: F.array_join(F.slice("t_lines", F.get("t_starts", k) + 1, ends(k) - F.get("t_starts", k)), "\n"))
-    lines = F.aggregate("t_stays", F.lit(0), lambda n, k: n + ends(k) - F.get("t_starts", k))
-    joined = _barrier(joined, t_new=F.when(F.col("t_removed").isNull(), F.col("t_text")).otherwise(F.array_join(kept, "\n")), t_kept=lines.cast("long"))
-    new = {text_col: F.col("t_new")} | ({"n_chars": F.length("t_new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    columns = [(new[c] if c in new else F.col(own[c])).alias(c) for c in docs.columns]
-    return joined.select(*columns, (F.size("t_lines") - F.col("t_kept")).alias("lines_removed"), F.col("t_kept").alias("lines_kept"))
-
-
-def _pieces_of_marks(rows: DataFrame) -> DataFrame:
-    """The marked chunks of each row with their text."""
-    ends = F.coalesce(F.get("t_starts", F.col("t_k") + 1), F.size("t_lines"))
-    start = F.get("t_starts", F.col("t_k"))
-    return rows.select("*", F.inline("t_marks")).select("t_id", "t_th", "t_k", "t_h", "t_is_first", F.array_join(F.slice("t_lines", start + 1, ends - start), "\n").alias("t_chunk"))
-
-
-def remove_repeated_passages(docs: DataFrame, long_line: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without any line that stands in a repeated passage; adds lines_removed and lines_kept (long).
-
-    A passage is two consecutive lines or more, or one line of ``long_line`` characters or more. Every pair of consecutive lines is looked up, so a
-    passage goes whole however it is cut: a line is removed if a pair it belongs to (or the long line itself) has its first
-    occurrence (least id, text hash, position) elsewhere. Occurrences that overlap their first one stay ("a a a" is no repeated "a a"); every removed
-    line has a kept copy before it. Lines are compared by SHA-256, so texts move once only. Other cases as in ``remove_repeated_chunks``.
-    """
-    keys = {"t_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "t_th": F.xxhash64(text_col)}
     plain = docs.select(*[c.alias(name) for name, c in keys.items()], F.col(text_col).alias("t_text")).filter(F.col("t_text").isNotNull())
-    rows = _barrier(plain, t_lines=F.split("t_text", "\n", -1))
-    rows = _barrier(rows, t_hash=F.transform("t_lines", lambda x: F.sha2(x, 256)), t_long=F.transform("t_lines", lambda x: F.length(x) >= long_line)).drop("t_text", "t_lines")
-    pair = lambda h, k: F.when(k + 1 < F.size("t_hash"), F.struct(k.alias("k"), F.lit(2).alias("n"), F.unhex(F.sha2(F.concat(h, F.get("t_hash", k + 1)), 256)).alias("h")))
-    single = lambda h, k: F.when(F.get("t_long", k), F.struct(k.alias("k"), F.lit(1).alias("n"), F.unhex(h).alias("h")))
-    units = F.filter(F.concat(F.transform("t_hash", pair), F.transform("t_hash", single)), lambda u: u.isNotNull())
-    seen = rows.select("t_id", "t_th", F.inline(units)).withColumnsRenamed({"k": "t_k", "n": "t_n", "h": "t_h"})
-
     where = F.struct("t_id", "t_th", "t_k")
+
+    seen = _windows(plain, long_line)
     repeated = seen.groupBy("t_h").agg(F.min(where).alias("t_first"), F.max(where).alias("t_last")).filter("t_first < t_last").drop("t_last")
     apart = (F.col("t_id") != F.col("t_first.t_id")) | (F.col("t_th") != F.col("t_first.t_th")) | (F.col("t_k") - F.col("t_first.t_k") >= F.col("t_n"))
-    later = seen.join(repeated, "t_h").filter(apart).select("t_id", "t_th", F.inline(F.transform(F.sequence(F.col("t_k"), F.col("t_k") + F.col("t_n") - 1), lambda k: F.struct(k.alias("t_k")))))
-    removals = later.groupBy("t_id", "t_th").agg(F.collect_set("t_k").alias("t_removed"))
+    lines = F.transform(F.sequence(F.lit(0), F.col("t_n") - 1), lambda i: F.struct((F.col("t_k") + i).alias("k"), F.substring("t_h", i * _HASH + 1, F.lit(_HASH)).alias("line_h")))
+    marks = seen.join(repeated, "t_h").select("t_id", "t_th", apart.alias("later"), F.inline(lines))
 
+    # lines that share a hash but not their bytes are left alone
+    asked = marks.groupBy("t_id", "t_th").agg(F.collect_set("k").alias("t_asked"))
+    held = _lined(plain.join(asked, ["t_id", "t_th"])).select(F.explode(F.transform("t_asked", lambda k: F.get("t_lines", F.get("t_at", k)))).alias("line"))
+    unequal = held.groupBy(F.unhex(F.md5("line")).alias("line_h")).agg(F.min("line").alias("least"), F.max("line").alias("most")).filter("least < most").select("line_h")
+    removals = marks.filter("later").join(unequal, "line_h", "left_anti").groupBy("t_id", "t_th").agg(F.collect_set("k").alias("t_removed"))
+
+    # the other columns travel under names of our own
     own = {c: f"t_column_{k}" for k, c in enumerate(docs.columns) if c != text_col}
     packed = docs.select(*[c.alias(name) for name, c in keys.items()], F.col(text_col).alias("t_text"), *[F.col(c).alias(name) for c, name in own.items()])
-    joined = _barrier(packed.join(removals, ["t_id", "t_th"], "left"), t_lines=F.split(F.coalesce("t_text", F.lit("")), "\n", -1))
-    joined = _barrier(joined, t_stays=F.array_except(F.sequence(F.lit(0), F.size("t_lines") - 1), F.coalesce("t_removed", F.array().cast("array<int>"))))
+    joined = _lined(packed.join(removals, ["t_id", "t_th"], "left"))
+    end = lambda k: F.coalesce(F.get("t_at", k + 1), F.size("t_lines")) - 1
+    gone = F.flatten(F.transform(F.coalesce("t_removed", F.array().cast("array<int>")), lambda k: F.sequence(F.get("t_at", k), end(k))))
+    joined = _barrier(joined, t_stays=F.array_except(F.sequence(F.lit(0), F.size("t_lines") - 1), gone))
     left = F.array_join(F.transform("t_stays", lambda k: F.get("t_lines", k)), "\n")
     joined = _barrier(joined, t_new=F.when(F.col("t_removed").isNull(), F.col("t_text")).otherwise(left), t_kept=F.size("t_stays").cast("long"))
     new = {text_col: F.col("t_new")} | ({"n_chars": F.length("t_new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     columns = [(new[c] if c in new else F.col(own[c])).alias(c) for c in docs.columns]
-    return joined.select(*columns, (F.size("t_lines") - F.col("t_kept")).alias("lines_removed"), F.col("t_kept").alias("lines_kept"))
+    return joined.select(*columns, (F.size("t_lines") - F.col("t_kept")).cast("long").alias("lines_removed"), F.col("t_kept").alias("lines_kept"))

@@ -68,7 +68,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.remove_repeated_chunks(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cleaned.select("doc_id", F.col("lines_kept"), F.col("lines_removed").cast("long").alias("lines_removed"), F.md5("text").alias("text_md5"))
+    return cleaned.select("doc_id", "lines_kept", "lines_removed", F.md5("text").alias("text_md5"))
 
 
 def _predicted(scored: DataFrame, held_out) -> DataFrame:
@@ -78,23 +78,27 @@ def _predicted(scored: DataFrame, held_out) -> DataFrame:
 LINE_DEDUP_SQL = """
 WITH l AS (
     SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
-), h AS (
-    SELECT *, list_transform(lines, lambda x: md5(x)) AS hash, list_transform(lines, lambda x: length(x) >= 120) AS long FROM l
-), s AS (
-    SELECT *, list_filter(range(0, len(lines)), lambda i: i = 0 OR long[i + 1] OR long[i]
-        OR ('0x' || substr(md5(concat(coalesce(hash[CASE WHEN i >= 2 THEN i - 1 ELSE NULL END], ''), hash[i])), 1, 7))::BIGINT % 2 = 0) AS starts FROM h
-), c AS (
-    SELECT doc_id, text, lines, long, starts, unnest(range(0, len(starts))) AS k FROM s
+), a AS (
+    SELECT *, list_filter(range(0, len(lines)), lambda i: trim(lines[i + 1]) <> '') AS filled FROM l
+), w AS (
+    SELECT doc_id, k, lines[filled[k + 1] + 1] AS x, CASE WHEN k + 1 < len(filled) THEN lines[filled[k + 2] + 1] END AS y
+    FROM (SELECT doc_id, lines, filled, unnest(range(0, len(filled))) AS k FROM a)
+), u AS (
+    SELECT doc_id, k, 2 AS n, x, y FROM w WHERE y IS NOT NULL
+    UNION ALL
+    SELECT doc_id, k, 1, x, NULL FROM w WHERE length(x) >= 120
+), f AS (
+    SELECT *, first_value(doc_id) OVER o AS first_doc, first_value(k) OVER o AS first_k FROM u WINDOW o AS (PARTITION BY n, x, y ORDER BY doc_id, k)
+), g AS (
+    SELECT DISTINCT doc_id, k + i AS k
+    FROM (SELECT doc_id, k, unnest(range(0, n)) AS i FROM f WHERE doc_id <> first_doc OR k - first_k >= n)
 ), p AS (
-    SELECT doc_id, text, k, starts[k + 1] AS a, coalesce(starts[k + 2], len(lines)) AS b,
-        array_to_string(lines[starts[k + 1] + 1 : coalesce(starts[k + 2], len(lines))], chr(10)) AS chunk, long[starts[k + 1] + 1] AS is_long
-    FROM c
-), r AS (
-    SELECT *, (b - a >= 2 OR is_long) AND row_number() OVER (PARTITION BY chunk, (b - a >= 2 OR is_long) ORDER BY doc_id, k) > 1 AS gone FROM p
+    SELECT doc_id, text, p, lines[p + 1] AS line, len(list_filter(filled, lambda q: q <= p)) - 1 AS k
+    FROM (SELECT doc_id, text, lines, filled, unnest(range(0, len(lines))) AS p FROM a)
 ), o AS (
-    SELECT doc_id, coalesce(sum(b - a) FILTER (WHERE NOT gone), 0)::BIGINT AS lines_kept, coalesce(sum(b - a) FILTER (WHERE gone), 0)::BIGINT AS lines_removed,
-        coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS rest, any_value(text) AS text
-    FROM r GROUP BY doc_id
+    SELECT p.doc_id, count(*) FILTER (WHERE g.k IS NULL) AS lines_kept, count(g.k) AS lines_removed,
+        coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE g.k IS NULL), '') AS rest, any_value(text) AS text
+    FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.k = g.k GROUP BY p.doc_id
 )
 SELECT doc_id, lines_kept, lines_removed, CASE WHEN text IS NULL THEN NULL ELSE md5(rest) END AS text_md5 FROM o
 """
