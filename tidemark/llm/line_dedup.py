@@ -10,8 +10,8 @@ one stay ("a a a" is no repeated "a a"), so every removed line has a kept copy b
 Boundaries drawn by a rolling hash alone (every so many lines on average) would leave the ends of each passage in place, and all of a
 passage that holds no whole chunk; here they are drawn by the rolling hash and its recurrence.
 
-What is counted over the corpus are hashes, summed before they are shuffled. Texts move for the comparison and once more to the rows of
-their removals. A hot window meets one row on the other side of its join, which Spark's skew join may split.
+What is counted over the corpus are hashes, summed before they are shuffled. Texts move once: the
+comparison and the removal read the same exchange. A hot window meets one row on the other side of its join, which Spark's skew join may split.
 
 Defined cases: null texts stay null; empty texts stay empty; a text whose lines are all removed becomes empty; rows alike in id and text are one
 document and treated alike; null ids come first; ties do not arise (id, text hash and position order all occurrences); lines of blanks are skipped when
@@ -50,6 +50,12 @@ def _windows(rows: DataFrame, long_line: int) -> DataFrame:
     return rows.select("t_id", "t_th", F.inline(found)).withColumnsRenamed({"k": "t_k", "n": "t_n", "h": "t_h"})
 
 
+def _unpruned(rows: DataFrame) -> DataFrame:
+    """A condition that always holds and reads every carried column, so that this join and the last one share one exchange of the texts."""
+    read = [c for c, kind in rows.dtypes if c.startswith("t_column_") and "map<" not in kind and kind != "variant"]
+    return rows.filter(F.xxhash64(*read).cast("string") != "") if read else rows
+
+
 def remove_repeated_chunks(docs: DataFrame, long_line: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated chunks removed from ``text``; adds lines_removed and lines_kept (long)."""
     keys = {"t_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "t_th": F.xxhash64(text_col)}
@@ -62,15 +68,16 @@ def remove_repeated_chunks(docs: DataFrame, long_line: int = 120, id_col: str =
     lines = F.transform(F.sequence(F.lit(0), F.col("t_n") - 1), lambda i: F.struct((F.col("t_k") + i).alias("k"), F.substring("t_h", i * _HASH + 1, F.lit(_HASH)).alias("line_h")))
     marks = seen.join(repeated, "t_h").select("t_id", "t_th", apart.alias("later"), F.inline(lines))
 
+    # the other columns travel under names of our own
+    own = {c: f"t_column_{k}" for k, c in enumerate(docs.columns) if c != text_col}
+    packed = docs.select(*[c.alias(name) for name, c in keys.items()], F.col(text_col).alias("t_text"), *[F.col(c).alias(name) for c, name in own.items() if c != "n_chars"])
+
     # lines that share a hash but not their bytes are left alone
     asked = marks.groupBy("t_id", "t_th").agg(F.collect_set("k").alias("t_asked"))
-    held = _lined(plain.join(asked, ["t_id", "t_th"])).select(F.explode(F.transform("t_asked", lambda k: F.get("t_lines", F.get("t_at", k)))).alias("line"))
+    held = _lined(_unpruned(packed.join(asked, ["t_id", "t_th"]))).select(F.explode(F.transform("t_asked", lambda k: F.get("t_lines", F.get("t_at", k)))).alias("line"))
     unequal = held.groupBy(F.unhex(F.md5("line")).alias("line_h")).agg(F.min("line").alias("least"), F.max("line").alias("most")).filter("least < most").select("line_h")
     removals = marks.filter("later").join(unequal, "line_h", "left_anti").groupBy("t_id", "t_th").agg(F.collect_set("k").alias("t_removed"))
 
-    # the other columns travel under names of our own
-    own = {c: f"t_column_{k}" for k, c in enumerate(docs.columns) if c != text_col}
-    packed = docs.select(*[c.alias(name) for name, c in keys.items()], F.col(text_col).alias("t_text"), *[F.col(c).alias(name) for c, name in own.items()])
     joined = _lined(packed.join(removals, ["t_id", "t_th"], "left"))
     end = lambda k: F.coalesce(F.get("t_at", k + 1), F.size("t_lines")) - 1
     gone = F.flatten(F.transform(F.coalesce("t_removed", F.array().cast("array<int>")), lambda k: F.sequence(F.get("t_at", k), end(k))))
