@@ -32,8 +32,7 @@ def vocabulary():
 def encode(vocabulary):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_str(vocabulary)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_str(vocabulary)  # as the library is, without settings
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -76,7 +75,8 @@ def test_empty_token_file(spark, edge, vocabulary):
 
 def test_words_equal_whole_texts(vocabulary, encode):
     rng, words = random.Random(5), word_tokens.WordTokens(vocabulary)
-    parts = ["a", "B", " ", "  ", "\n", "'s", "don't", "é", "é", "Σ", "İ", "1", "12", "!!", ".", ",", "x.", "$$$", "_", "\x1c", "\x85", "漢", "straße", "<|endoftext|>"]
+    parts = ["a", "B", " ", "  ", "\n", "'s", "don't", "é", "é", "Σ", "İ", "1", "12", "!!", ".", ",", "x.", "$$$", "_", "\x1c", "\x85", "漢", "straße", "<|endoftext|>", "<|", "<|EndOfText|>", "<|startoftext|>"]
+    assert encode("hello <|endoftext|> world")[1] == 49407
     for _ in range(400):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
         assert np.frombuffer(words.ids(text), dtype=words.dtype).tolist() == encode(text)[:-1]
@@ -149,16 +149,43 @@ def test_neighbours_equal_brute_force_bm25():
         s = sum(idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t, c in zip(ids, n) if t in query)
         if s > 0 and index.unused[k]:
             score[k] = s
-    got = index.neighbours(0).tolist()
+    got = list(index.neighbours(0, first=3))
     assert got == sorted(score, key=lambda k: (-round(score[k], 9), k)) or [round(score[k], 9) for k in got] == sorted((round(s, 9) for s in score.values()), reverse=True)
 
 
+def test_used_documents_leave_the_postings():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 200, n).astype("<u4") for n in rng.integers(5, 90, 60)]
+    idf = rng.random(200) + 0.1
+    index = packing.ShardIndex(docs, idf, 40.0)
+    for used in (0, 20, 45, 58):
+        index.unused[:used] = False
+        fresh = packing.ShardIndex(docs, idf, 40.0)
+        fresh.unused[:used] = False
+        scores = dict(zip(fresh.rows.tolist(), fresh.scores(59).tolist()))
+        assert list(index.neighbours(59)) == sorted((k for k in range(used, 60) if scores[k] > 0), key=lambda k: (-round(scores[k], 9), k))
+        assert len(index.rows) <= max(2, 2 * (60 - used))
+
+
+def test_documents_with_common_heavy_terms_stand_together():
+    rng = np.random.default_rng(4)
+    topics = [rng.choice(np.arange(100, 5000), 60, replace=False) for _ in range(8)]
+    docs = [np.concatenate([rng.choice(topics[k % 8], 50), rng.integers(0, 100, 50)]).astype("<u4") for k in range(800)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=5000)
+    tree = packing.PlaceTree(np.log1p((800 - df + 0.5) / (df + 0.5)), 100.0)
+    sketches = np.stack([tree.sketch(d) for d in docs])
+    tree.fit(sketches[:400], 3)
+    order = np.argsort(tree.places(sketches), kind="stable") % 8
+    assert (order[1:] == order[:-1]).mean() > 0.8
+    assert (tree.places(sketches[:3]) >> tree.FINE < 8).all()
+
+
 def test_a_whole_document_is_the_query():
     idf = np.linspace(5, 1, 100)
     docs = [np.arange(40, dtype="<u4"), np.arange(39, 41, dtype="<u4"), np.arange(60, 70, dtype="<u4")]
     index = packing.ShardIndex(docs, idf, 20.0)
     index.unused[0] = False
-    assert index.neighbours(0).tolist() == [1]  # shares the lightest of 40 terms alone
+    assert list(index.neighbours(0)) == [1]  # shares the lightest of 40 terms alone
     assert inspect.signature(packing.pack).parameters["query_terms"].default is None
 
 

@@ -1,18 +1,18 @@
 """Sequence packing by lexical retrieval.
 
-Documents are tokenised once; document frequencies of all token ids are counted
-over the whole corpus; then every shard (a run of rows of bounded size) builds
-its own BM25 inverted index and packs itself: a seed document opens a window, the
-index returns the unused neighbours of the seed (whole documents are the queries), best first, and they fill the
-window greedily. The neighbour that reaches the end is cut there; what is left of it seeds
-the next window. Where no unused neighbour shares a query term, the next unused
-document in row order follows. The last window of a shard is cut into powers of two,
-so no sequence needs padding.
-
-A seed never queries another shard: what it can find is limited to its own. Nothing is shuffled but partial document frequencies (one row a token id). A
-shard's memory is bounded by ``shard_tokens`` and ``shard_docs``, plus one document.
-
-Defined cases: null or empty texts hold the end id alone; repeated rows are
+A hash sample of documents gives a tree of hyperplanes over sketches of BM25 weights (signed random
+projections of a document's weighted terms). All documents are tokenised once and placed by that tree, and below its leaves by further
+random hyperplanes, so that documents with the same heavy terms stand together; runs of this order are the shards. Document
+frequencies of all token ids are counted over the whole corpus. Every shard builds its own BM25
+inverted index and packs itself: a seed document opens a window, the index returns the unused neighbours of the
+seed (whole documents are the queries), best first, and they fill the window greedily. The neighbour that reaches the
+end is cut there; what is left of it seeds the next window. Where no unused neighbour shares a query term, the
+next unused document in the shard's order follows. The last window of a shard is cut into powers of two, so no sequence needs padding.
+
+The sample only draws borders: every document is placed, indexed, searched and packed. Ids are shuffled once, by ranges of the order, which Spark balances even
+where copies share a place. A shard's memory is bounded by ``shard_tokens`` and ``shard_docs``, plus one document.
+
+Defined cases: null or empty texts hold the end id alone; very long texts are cut over several windows; repeated rows are
 packed each; ties in score go to the earlier row of the shard; an empty table
 gives no pieces; other columns are ignored.
 """
@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, texts
-from tidemark.llm.word_tokens import tokenised
+from tidemark.llm.common import drop_scratch, materialise, texts
+from tidemark.llm.word_tokens import tokenised, word_tokens
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 DIGESTS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -63,15 +63,34 @@ class ShardIndex:
             seen, counts = np.unique(ids, return_counts=True)
             tf = counts * (k1 + 1) / (counts + k1 * (1 - b + b * len(ids) / mean_length))
             terms.append(seen)
-            owners.append(np.full(len(seen), number, dtype=np.int32))
+            owners.append(np.full(len(seen), number, dtype=np.int64))
             impacts.append(idf[seen] * tf)
         self.doc_terms = terms
         self.doc_impacts = impacts
-        term = np.concatenate(terms)
+        self.query_terms, self.unused = query_terms, np.ones(len(docs), dtype=bool)
+        term, owner, impact = np.concatenate(terms), np.concatenate(owners), np.concatenate(impacts)
         order = np.argsort(term, kind="stable")
-        self.owner, self.impact = np.concatenate(owners)[order], np.concatenate(impacts)[order]
-        self.ends = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.idf, self.query_terms, self.unused = idf, query_terms, np.ones(len(docs), dtype=bool)
+        self._post(term[order], owner[order], impact[order], np.arange(len(docs)))
+
+    def _post(self, term: np.ndarray, owner: np.ndarray, impact: np.ndarray, rows: np.ndarray) -> None:
+        """Postings of the documents ``rows`` (sorted by term): lists of rare terms, a row over all documents for each frequent one."""
+        self.rows, self.postings = rows, (term, owner, impact)
+        at = np.flatnonzero(np.diff(term, prepend=-1))
+        ends = np.append(at[1:], len(term))
+        self.lists, self.dense = {}, {}
+        for t, a, b in zip(term[at].tolist(), at.tolist(), ends.tolist()):
+            if (b - a) * 6 < len(rows):
+                self.lists[t] = (owner[a:b], impact[a:b])
+            else:
+                self.dense[t] = np.bincount(owner[a:b], weights=impact[a:b], minlength=len(rows))
+
+    def _compact(self) -> None:
+        """Take used documents out of the postings."""
+        term, owner, impact = self.postings
+        stays = self.unused[self.rows]
+        place = np.cumsum(stays) - 1
+        keep = stays[owner]
+        self._post(term[keep], place[owner[keep]], impact[keep], self.rows[stays])
 
     def query(self, number: int) -> np.ndarray:
         """The query of a seed: all of its terms, or its ``query_terms`` terms of largest impact."""
@@ -80,14 +99,33 @@ class ShardIndex:
             terms = terms[np.argpartition(-impacts, self.query_terms)[: self.query_terms]]
         return terms
 
-    def neighbours(self, number: int) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best score first, ties to the earlier row."""
-        spans = [(self.ends[t], self.ends[t + 1]) for t in self.query(number).tolist()]
-        owner = np.concatenate([self.owner[a:b] for a, b in spans])
-        impact = np.concatenate([self.impact[a:b] for a, b in spans])
-        scores = np.bincount(owner, weights=impact, minlength=len(self.unused))
-        found = np.flatnonzero((scores > 0) & self.unused)
-        return found[np.lexsort((found, -scores[found]))]
+    def scores(self, number: int) -> np.ndarray:
+        """The BM25 score of each of ``self.rows`` for the query of ``number``."""
+        scores, owners, impacts = np.zeros(len(self.rows)), [], []
+        for t in self.query(number).tolist():
+            row = self.dense.get(t)
+            if row is not None:
+                scores += row
+            elif t in self.lists:
+                owner, impact = self.lists[t]
+                owners.append(owner)
+                impacts.append(impact)
+        if owners:
+            scores += np.bincount(np.concatenate(owners), weights=np.concatenate(impacts), minlength=len(scores))
+        return scores
+
+    def neighbours(self, number: int, first: int = 32) -> Iterator[int]:
+        """Unused documents that share a query term with the seed, best score first, ties to the earlier row.
+
+        The ``first`` best are sorted at once, the others only if someone asks for them.
+        """
+        if 2 * np.count_nonzero(self.unused[self.rows]) < len(self.rows):
+            self._compact()
+        rows, scores = self.rows, self.scores(number)
+        found = np.flatnonzero((scores > 0) & self.unused[rows])
+        least = -np.partition(-scores[found], first)[first] if len(found) > first else -1.0
+        for some in (found[scores[found] > least], found[scores[found] <= least]):
+            yield from rows[some[np.lexsort((some, -scores[some]))]].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int, query_terms: int | None = None) -> Iterator[tuple[int, int, int, int, int]]:
@@ -99,7 +137,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
     current, at, seed = None, 0, None
     while left:
         if current is None:
-            current = next((int(k) for k in ahead if index.unused[k]), None)
+            current = next((k for k in ahead if index.unused[k]), None)
             if current is None:
                 while not index.unused[next_row]:
                     next_row += 1
@@ -108,7 +146,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
             index.unused[current] = False
         if room == window and seed is None:
             seed = current
-            ahead = iter(index.neighbours(seed))
+            ahead = index.neighbours(seed)
         n = min(room, len(docs[current]) - at)
         pieces.append((current, at, n, sequence, window - room))
         at, room, left = at + n, room - n, left - n
@@ -132,20 +170,119 @@ def _powers(pieces: list, total: int, sequence: int) -> Iterator[tuple[int, int,
                 sequence, offset, room = sequence + 1, 0, 1 << max(0, total.bit_length() - 1)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, query_terms: int | None = None, shard_tokens: int = 1 << 22, shard_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+class PlaceTree:
+    """Where a document stands in the order that shards are cut from: a sign for each hyperplane on its way down the tree, then signs of random ones."""
+
+    FINE = 24
+
+    def __init__(self, idf: np.ndarray, mean_length: float, dimensions: int = 64, seed: int = 23):
+        self.idf, self.mean_length, self.dimensions, self.seed = idf, mean_length, dimensions, seed
+        self.planes: list[tuple[np.ndarray, np.ndarray]] = []  # directions and thresholds of each level
+        self._signs = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_signs": None}
+
+    def sketch(self, ids: np.ndarray, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+        if self._signs is None:
+            self._signs = np.random.default_rng(self.seed).choice(np.array([-1, 1], dtype=np.float32), (len(self.idf), self.dimensions))
+        seen, counts = np.unique(ids, return_counts=True)
+        seen, counts = seen[seen < len(self.idf)], counts[seen < len(self.idf)]
+        weights = self.idf[seen] * counts * (k1 + 1) / (counts + k1 * (1 - b + b * len(ids) / self.mean_length))
+        sum_ = weights.astype(np.float32) @ self._signs[seen]
+        return sum_ / max(1e-9, float(np.linalg.norm(sum_)))
+
+    def fit(self, sketches: np.ndarray, depth: int) -> None:
+        """Halve the sample ``depth`` times: each half of a node along the line between the means of two groups in it."""
+        node, rng = np.zeros(len(sketches), dtype=np.int64), np.random.default_rng(self.seed + 1)
+        for level in range(depth):
+            directions, thresholds = np.zeros((1 << level, self.dimensions), dtype=np.float32), np.zeros(1 << level, dtype=np.float32)
+            bit = np.zeros(len(sketches), dtype=np.int64)
+            for k in range(1 << level):
+                x = sketches[node == k]
+                if len(x) < 8:
+                    continue
+                a, b = x[rng.choice(len(x), 2, replace=False)]
+                for _ in range(6):
+                    near = x @ (b - a) > ((b * b).sum() - (a * a).sum()) / 2
+                    if near.all() or not near.any():
+                        break
+                    a, b = x[~near].mean(0), x[near].mean(0)
+                directions[k], thresholds[k] = b - a, np.median(x @ (b - a))
+                bit[node == k] = x @ directions[k] > thresholds[k]
+            self.planes.append((directions, thresholds))
+            node = node * 2 + bit
+
+    def places(self, sketches: np.ndarray) -> np.ndarray:
+        """The place of each sketch, a non-negative integer: neighbours in order share the first signs."""
+        node = np.zeros(len(sketches), dtype=np.int64)
+        for directions, thresholds in self.planes:
+            node = node * 2 + (np.einsum("ij,ij->i", sketches, directions[node]) > thresholds[node])
+        fine = np.random.default_rng(self.seed + 2).normal(size=(self.dimensions, self.FINE)).astype(np.float32)
+        return (node << self.FINE) + (sketches @ fine > 0) @ (np.int64(1) << np.arange(self.FINE, dtype=np.int64)[::-1])
+
+
+def _weights(frequencies: dict[int, int], n_docs: int) -> np.ndarray:
+    df = np.zeros(1 + max(frequencies, default=0))
+    df[list(frequencies)] = list(frequencies.values())
+    return np.log1p((n_docs - df + 0.5) / (df + 0.5))
+
+
+def _totals(tokens: DataFrame) -> tuple[int, float]:
+    """Documents and their mean length in ids."""
+    n, total = tokens.agg(F.count("*"), F.sum(F.length("ids") / F.col("width"))).first()
+    return n, (total or 1) / max(1, n)
+
+
+def fit_places(docs: DataFrame, vocabulary: str, end_id: int, shard_docs: int, fit_docs: int, most_leaves: int = 1024) -> PlaceTree:
+    """The tree from about ``fit_docs`` documents, picked by a hash of their id and text; at most ``most_leaves`` leaves of some ``shard_docs`` documents."""
+    n = docs.count()
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, fit_docs / max(1, n)))
+    tokens = materialise(tokenised(docs.filter(share), vocabulary, end_id).drop("part"), "sample")
+    n_sample, mean_length = _totals(tokens)
+    tree = PlaceTree(_weights(document_frequencies(tokens), n_sample), mean_length)
+    depth = int(np.ceil(np.log2(max(1, min(most_leaves, n / shard_docs)))))
+    if depth and n_sample >= 64:
+        shared = docs.sparkSession.sparkContext.broadcast(tree)
+
+        def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "s": [shared.value.sketch(np.frombuffer(r, dtype=f"<u{w}")) for r, w in zip(batch["ids"], batch["width"])]})
+
+        # some fit_docs rows of 64 numbers
+        rows = tokens.mapInPandas(sketch, "doc_id long, s array<float>").toPandas().sort_values("doc_id", kind="stable")
+        tree.fit(np.stack(rows["s"].to_numpy()).astype(np.float32), depth)
+    drop_scratch(tokens)
+    return tree
+
+
+def placed_tokens(docs: DataFrame, vocabulary: str, end_id: int, tree: PlaceTree) -> DataFrame:
+    """doc_id, ids, width and place of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, tree))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, tree = shared.value
+        words = word_tokens(vocabulary)
+        end = np.array([end_id], dtype=words.dtype).tobytes()
+        for batch in batches:
+            ids = [words.ids(text) + end for text in batch["text"]]
+            sketches = np.stack([tree.sketch(np.frombuffer(raw, dtype=words.dtype)) for raw in ids]) if ids else np.zeros((0, tree.dimensions), dtype=np.float32)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids, "width": np.int32(words.dtype.itemsize), "place": tree.places(sketches)})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, width int, place long")
+
+
+def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, query_terms: int | None = None, shard_tokens: int = 1 << 22, shard_docs: int = 2048, fit_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Pack all documents. Returns pieces with their ids (little-endian unsigned 32-bit), or with the crc32 of those where ``digests``.
 
     Sequence ids are the partition and the sequence within it; the token table is written to the shared
     folder first, so a recomputed task reads the same rows and gives the same ids.
     """
-    tokens = materialise(tokenised(texts(docs, id_col, text_col), vocabulary, end_id).drop("part"), "tokens")
-    counts = tokens.agg(F.count("*"), F.sum(F.length("ids") / F.col("width"))).first()
-    n_docs, mean_length = counts[0], (counts[1] or 1) / max(1, counts[0])
-    frequencies = document_frequencies(tokens)
-    size = 1 + max(frequencies, default=0)
-    df = np.zeros(size)
-    df[list(frequencies)] = list(frequencies.values())
-    idf = tokens.sparkSession.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)))
+    rows = texts(docs, id_col, text_col)
+    tree = fit_places(rows, vocabulary, end_id, shard_docs, fit_docs)
+    tokens = materialise(placed_tokens(rows, vocabulary, end_id, tree), "tokens")
+    n_docs, mean_length = _totals(tokens)
+    idf = tokens.sparkSession.sparkContext.broadcast(_weights(document_frequencies(tokens), n_docs))
 
     def shard(rows: list, first: int) -> tuple[pd.DataFrame, int]:
         docs = [np.frombuffer(raw, dtype=f"<u{width}").astype("<u4") for _, raw, width in rows]
@@ -170,4 +307,6 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, quer
         if rows:
             yield shard(rows, first)[0]
 
-    return tokens.select("doc_id", "ids", "width").mapInPandas(run, DIGESTS if digests else PIECES)
+    order = ["place", "tie", "doc_id", "ids"]
+    dealt = tokens.withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(max(1, -(-n_docs // shard_docs)), "place", "tie").sortWithinPartitions(*order)
+    return dealt.select("doc_id", "ids", "width").mapInPandas(run, DIGESTS if digests else PIECES)

@@ -3,11 +3,16 @@
 The vocabularies served here drop white space and never merge across it, so the
 ids of a text are the ids of its white-space separated words in order. Each
 Python worker keeps the ids of the words it has met, up to a bound; words of
-letters alone go straight to the library's merges.
+letters alone go straight to the library's merges. Texts that hold the string of a special token go to the library whole,
+which makes it that token's id, as it does by itself.
+
+Defined cases: null texts are empty and give ``end_id`` alone; very long texts are encoded whole; repeated rows give the same ids; an
+empty table gives no rows; columns other than doc_id and text are left out.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -43,7 +48,8 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        #: What the library cuts out of a text before anything else, as one id each; compared without case, for some match the normalised text.
+        self.special = [x["content"].lower() for x in json.loads(vocabulary).get("added_tokens", [])]
         self.dtype = np.dtype("u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "u4")
         self.merges, self.turned_away = self.tokenizer.model, 0
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -53,8 +59,6 @@ class WordTokens(dict):
     @staticmethod
     def _words_stand_alone(vocabulary: str) -> bool:
         """True where the pre-tokeniser removes white space, lower-cases, and so splits at every blank."""
-        import json
-
         parts = json.loads(vocabulary)
         steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
         cases = (parts.get("normalizer") or {}).get("normalizers", [])
@@ -89,9 +93,10 @@ class WordTokens(dict):
 
     def ids(self, text: str) -> bytes:
         """All ids of ``text`` as little-endian bytes of ``self.dtype``."""
-        if not self.by_word or _UNUSUAL.search(text):
+        lowered = text.lower()
+        if not self.by_word or _UNUSUAL.search(text) or any(s in lowered for s in self.special):
             return self._encode(text)
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        return b"".join(map(self.__getitem__, lowered.split()))
 
 
 def word_tokens(vocabulary: str) -> WordTokens:
@@ -111,7 +116,7 @@ def read_vocabulary(path: str) -> str:
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int | None, cuts: list[int] | None = None) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, ``ids`` (binary, 2 or 4 bytes an id), ``width`` (bytes an id) and ``part`` (how many of ``cuts`` are at or below doc_id; null ids: 0).
 
-    Every text is encoded whole, without special tokens; ``end_id`` (if any) is appended.
+    Every text is encoded whole, without adding special tokens; ``end_id`` (if any) is appended.
     """
     bounds = np.array(cuts or [], dtype=np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
