@@ -51,9 +51,12 @@ def _windows(rows: DataFrame, long_line: int) -> DataFrame:
 
 
 def _unpruned(rows: DataFrame) -> DataFrame:
-    """A condition that always holds and reads every carried column, so that this join and the last one share one exchange of the texts."""
+    """A condition that always holds and reads every carried column, so that this join and the last one share one exchange of the texts.
+
+    It reads ``t_asked`` too, or it would move below the join and make the exchanges differ.
+    """
     read = [c for c, kind in rows.dtypes if c.startswith("t_column_") and "map<" not in kind and kind != "variant"]
-    return rows.filter(F.xxhash64(*read).cast("string") != "") if read else rows
+    return rows.filter(F.xxhash64("t_asked", *read).cast("string") != "")
 
 
 def remove_repeated_chunks(docs: DataFrame, long_line: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
