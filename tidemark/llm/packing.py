@@ -35,6 +35,15 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 DIGESTS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, ascending, and how often each occurs; 16-bit ids are sorted by radix."""
+    if not len(ids):
+        return ids, np.zeros(0, dtype=np.int64)
+    ids = np.sort(ids, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[at], np.diff(np.append(at, len(ids)))
+
+
 def document_frequencies(tokens: DataFrame) -> dict[int, int]:
     """In how many documents each token id occurs. As many entries as the vocabulary has ids at most."""
 
@@ -42,7 +51,7 @@ def document_frequencies(tokens: DataFrame) -> dict[int, int]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for raw, width in zip(batch["ids"], batch["width"]):
-                seen = np.unique(np.frombuffer(raw, dtype=f"<u{width}"))
+                seen, _ = term_counts(np.frombuffer(raw, dtype=f"<u{width}"))
                 if len(seen) and seen[-1] >= len(total):
                     total = np.concatenate([total, np.zeros(int(seen[-1]) + 1 - len(total), dtype=np.int64)])
                 total[seen] += 1
@@ -60,7 +69,7 @@ class ShardIndex:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int | None = None, k1: float = 1.2, b: float = 0.75):
         terms, owners, impacts = [], [], []
         for number, ids in enumerate(docs):
-            seen, counts = np.unique(ids, return_counts=True)
+            seen, counts = term_counts(ids)
             tf = counts * (k1 + 1) / (counts + k1 * (1 - b + b * len(ids) / mean_length))
             terms.append(seen)
             owners.append(np.full(len(seen), number, dtype=np.int64))
@@ -77,12 +86,17 @@ class ShardIndex:
         self.rows, self.postings = rows, (term, owner, impact)
         at = np.flatnonzero(np.diff(term, prepend=-1))
         ends = np.append(at[1:], len(term))
-        self.lists, self.dense = {}, {}
+        self.lists, self.frequent, dense = {}, {}, []
         for t, a, b in zip(term[at].tolist(), at.tolist(), ends.tolist()):
             if (b - a) * 6 < len(rows):
                 self.lists[t] = (owner[a:b], impact[a:b])
             else:
-                self.dense[t] = np.bincount(owner[a:b], weights=impact[a:b], minlength=len(rows))
+                self.frequent[t] = len(dense)
+                dense.append(np.bincount(owner[a:b], weights=impact[a:b], minlength=len(rows)))
+        self.dense = np.stack(dense) if dense else np.zeros((0, len(rows)))
+        # what frequent terms give each whole document as a query: one product for all
+        self.shared = (self.dense != 0).astype(np.float64).T @ self.dense if self.query_terms is None else None
+        self.place = {k: at for at, k in enumerate(rows.tolist())}
 
     def _compact(self) -> None:
         """Take used documents out of the postings."""
@@ -101,15 +115,16 @@ class ShardIndex:
 
     def scores(self, number: int) -> np.ndarray:
         """The BM25 score of each of ``self.rows`` for the query of ``number``."""
-        scores, owners, impacts = np.zeros(len(self.rows)), [], []
-        for t in self.query(number).tolist():
-            row = self.dense.get(t)
-            if row is not None:
-                scores += row
-            elif t in self.lists:
-                owner, impact = self.lists[t]
-                owners.append(owner)
-                impacts.append(impact)
+        terms, place = self.query(number).tolist(), self.place.get(number)
+        if self.shared is not None and place is not None:
+            scores = self.shared[place].copy()
+        else:
+            scores = self.dense[[self.frequent[t] for t in terms if t in self.frequent]].sum(0)
+        owners, impacts = [], []
+        for t in terms:
+            if (posting := self.lists.get(t)) is not None:
+                owners.append(posting[0])
+                impacts.append(posting[1])
         if owners:
             scores += np.bincount(np.concatenate(owners), weights=np.concatenate(impacts), minlength=len(scores))
         return scores
@@ -119,9 +134,9 @@ class ShardIndex:
 
         The ``first`` best are sorted at once, the others only if someone asks for them.
         """
-        if 2 * np.count_nonzero(self.unused[self.rows]) < len(self.rows):
-            self._compact()
         rows, scores = self.rows, self.scores(number)
+        if 2 * np.count_nonzero(self.unused[rows]) < len(rows):
+            self._compact()
         found = np.flatnonzero((scores > 0) & self.unused[rows])
         least = -np.partition(-scores[found], first)[first] if len(found) > first else -1.0
         for some in (found[scores[found] > least], found[scores[found] <= least]):
@@ -186,8 +201,10 @@ class PlaceTree:
     def sketch(self, ids: np.ndarray, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
         if self._signs is None:
             self._signs = np.random.default_rng(self.seed).choice(np.array([-1, 1], dtype=np.float32), (len(self.idf), self.dimensions))
-        seen, counts = np.unique(ids, return_counts=True)
-        seen, counts = seen[seen < len(self.idf)], counts[seen < len(self.idf)]
+        seen, counts = term_counts(ids)
+        if len(seen) and seen[-1] >= len(self.idf):  # ids that the sample does not have
+            known = int(np.searchsorted(seen, len(self.idf)))
+            seen, counts = seen[:known], counts[:known]
         weights = self.idf[seen] * counts * (k1 + 1) / (counts + k1 * (1 - b + b * len(ids) / self.mean_length))
         sum_ = weights.astype(np.float32) @ self._signs[seen]
         return sum_ / max(1e-9, float(np.linalg.norm(sum_)))
@@ -285,10 +302,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, quer
     idf = tokens.sparkSession.sparkContext.broadcast(_weights(document_frequencies(tokens), n_docs))
 
     def shard(rows: list, first: int) -> tuple[pd.DataFrame, int]:
-        docs = [np.frombuffer(raw, dtype=f"<u{width}").astype("<u4") for _, raw, width in rows]
+        docs = [np.frombuffer(raw, dtype=f"<u{width}") for _, raw, width in rows]
         out, last = [], first - 1
         for doc, start, n, sequence, offset in pack_shard(docs, idf.value, mean_length, window, query_terms):
-            raw = docs[doc][start : start + n].tobytes()
+            raw = docs[doc][start : start + n].astype("<u4").tobytes()
             last = first + sequence
             out.append((rows[doc][0], start, n, zlib.crc32(raw) if digests else raw, len(docs[doc]), last, offset))
         columns = ["doc_id", "start", "length", "ids_crc32" if digests else "ids", "doc_tokens", "sequence_id", "offset"]
