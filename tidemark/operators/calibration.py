@@ -93,20 +93,16 @@ class ClassifierCalibrator:
 
         points = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("x"), F.col(label).cast("double").alias("y"))
         fitted = IsotonicRegression(featuresCol="x", labelCol="y").fit(points)
-        self._isotonic = (fitted.boundaries.toArray().tolist(), fitted.predictions.toArray().tolist())
+        self._isotonic = fitted
         return self.isotonic_transform(df, score)
 
     def isotonic_transform(self, df: DataFrame, score: str = "score") -> DataFrame:
         """Linear between the fitted boundaries, constant beyond them."""
         if self._isotonic is None:
             raise RuntimeError("isotonic_regression has not been called")
-        xs, ys = self._isotonic
-        model = F.broadcast(df.sparkSession.createDataFrame([(xs, ys)], "xs array<double>, ys array<double>"))
-        p = F.col(score)
-        joined = df.crossJoin(model).withColumn("_k", F.size(F.filter("xs", lambda b: b <= p)))
-        x0, x1, y0, y1 = (F.get(c, F.col("_k") - d) for c, d in (("xs", 1), ("xs", 0), ("ys", 1), ("ys", 0)))
-        value = F.when(F.col("_k") == 0, F.get("ys", F.lit(0))).when(F.col("_k") == F.size("xs"), F.element_at("ys", -1)).otherwise(y0 + (y1 - y0) * ratio(p - x0, x1 - x0))
-        return joined.withColumn("calibrated", F.when(p.isNotNull(), value)).drop("xs", "ys", "_k")
+        model = self._isotonic.copy({self._isotonic.featuresCol: "_x", self._isotonic.predictionCol: "_fitted"})
+        fitted = model.transform(df.withColumn("_x", F.coalesce(F.col(score).cast("double"), F.lit(0.0))))
+        return fitted.withColumn("calibrated", F.when(F.col(score).isNotNull(), F.col("_fitted"))).drop("_x", "_fitted")
 
     def expected_calibration_error(self, df: DataFrame, score: str = "score", label: str = "label") -> float:
         return expected_calibration_error(df, self.n_bins, None, score, label).first()["ece"]

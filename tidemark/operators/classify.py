@@ -25,7 +25,9 @@ MODES = ("zero_shot", "few_shot")
 # fixed values: USD per million tokens in and out, and default models
 PRICES = {"anthropic": (3.00, 15.00), "openai": (2.50, 10.00), "groq": (0.05, 0.08)}
 DEFAULT_MODELS = {"anthropic": "claude-sonnet-4-6", "openai": "gpt-4o", "groq": "llama-3.1-8b-instant"}
-BASE_URLS = {"groq": "https://api.groq.com/openai/v1"}
+BASE_URLS = {"anthropic": "https://api.anthropic.com/v1", "openai": "https://api.openai.com/v1", "groq": "https://api.groq.com/openai/v1"}
+#: What rows say that no provider has answered.
+OFFLINE = ("offline", "word-list")
 #: What each vertical covers, in one sentence; replace by the platform's own policy text.
 POLICIES = {
     "sexual_content_minors": "Any content that sexualises or exploits people under 18, or solicits such content.",
@@ -34,6 +36,34 @@ POLICIES = {
     "influence_operations": "Coordinated deception at scale: invented personas, fabricated campaigns, hidden sponsors.",
     "platform_abuse": "Fraud, spam, account takeover, fake engagement and other circumvention of platform rules.",
 }
+#: Labelled examples of each vertical for few-shot prompts, in own words; replace by the platform's own.
+EXAMPLES = {
+    "sexual_content_minors": (
+        ("Which picture books suit a class of nine-year-olds?", False, "A question about reading; nothing sexual."),
+        ("[a message that asks for sexual images of a child; removed]", True, "Solicits sexual content of a minor."),
+        ("How should a school report a suspicion of abuse?", False, "Protective information."),
+    ),
+    "violent_extremism": (
+        ("Why did the empire fall apart in 1918?", False, "A question about history."),
+        ("Brothers, take up arms, they must all be wiped out, write to me to join.", True, "Incites and recruits for mass violence."),
+        ("Do exit programmes for extremists work?", False, "About prevention."),
+    ),
+    "self_harm_suicide": (
+        ("What helps against low mood in winter?", False, "Seeks help for well-being."),
+        ("I have decided to end it tonight, tell me the surest way.", True, "States intent and asks for a method."),
+        ("Who answers the phone at a crisis line?", False, "About support services."),
+    ),
+    "influence_operations": (
+        ("How do newsrooms check quotes?", False, "About journalism."),
+        ("Set up forty local-sounding accounts that all repeat this story before the vote.", True, "Plans invented personas to deceive voters."),
+        ("Which laws require sponsors of adverts to be named?", False, "A question about rules."),
+    ),
+    "platform_abuse": (
+        ("My account was locked, how do I get back in?", False, "A request for support."),
+        ("Selling aged accounts and five thousand followers, cheap, they pass every check.", True, "Trades in accounts and fake engagement."),
+        ("What does two-factor login protect from?", False, "About security."),
+    ),
+}
 PARSED = "violates_policy string, confidence string, key_signals string, reasoning string"
 
 
@@ -73,20 +103,44 @@ class ChatBackend:
     model: str
 
     def complete(self, system: str, user: str) -> tuple[str, int, int]:
-        from urllib.error import HTTPError, URLError
-        from urllib.request import Request, urlopen
-
-        body = json.dumps({"model": self.model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}).encode()
-        try:
-            with urlopen(Request(f"{self.url}/chat/completions", body, {"Authorization": f"Bearer {self.api_key}", "Content-Type": "application/json"}), timeout=60) as response:
-                got = json.load(response)
-        except HTTPError as error:
-            raise (RateLimited if error.code == 429 else ProviderError)(str(error)) from error
-        except URLError as error:
-            raise ProviderError(str(error)) from error
+        body = {"model": self.model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
+        got = _post(f"{self.url}/chat/completions", body, {"Authorization": f"Bearer {self.api_key}"})
         return got["choices"][0]["message"]["content"], got["usage"]["prompt_tokens"], got["usage"]["completion_tokens"]
 
 
+@dataclass(frozen=True)
+class MessagesBackend:
+    """A messages endpoint over HTTP, with the system prompt in a field of its own (never used by tests)."""
+
+    url: str
+    api_key: str = field(repr=False)
+    model: str
+    max_tokens: int = 512
+
+    def complete(self, system: str, user: str) -> tuple[str, int, int]:
+        body = {"model": self.model, "max_tokens": self.max_tokens, "system": system, "messages": [{"role": "user", "content": user}]}
+        got = _post(f"{self.url}/messages", body, {"x-api-key": self.api_key, "anthropic-version": "2023-06-01"})
+        return got["content"][0]["text"], got["usage"]["input_tokens"], got["usage"]["output_tokens"]
+
+
+def _post(url: str, body: dict, headers: dict[str, str]) -> dict:
+    from urllib.error import HTTPError, URLError
+    from urllib.request import Request, urlopen
+
+    try:
+        with urlopen(Request(url, json.dumps(body).encode(), headers | {"Content-Type": "application/json"}), timeout=60) as response:
+            return json.load(response)
+    except HTTPError as error:
+        raise (RateLimited if error.code == 429 else ProviderError)(str(error)) from error
+    except URLError as error:
+        raise ProviderError(str(error)) from error
+
+
+def backend_for(provider: str, api_key: str, model: str, base_url: str | None = None) -> Backend:
+    """The backend that speaks a provider's protocol."""
+    return (MessagesBackend if provider == "anthropic" else ChatBackend)(base_url or BASE_URLS[provider], api_key, model)
+
+
 def system_prompt(category: str, policies: dict[str, str] | None = None) -> str:
     policy = (policies or POLICIES)[category]
     return (
@@ -98,13 +152,20 @@ def system_prompt(category: str, policies: dict[str, str] | None = None) -> str:
 def user_prompts(texts: DataFrame, mode: str, examples: DataFrame | None = None, text: str = "text") -> DataFrame:
     """``texts`` with ``user_prompt``: the content, after labelled ``examples`` (text, label, reasoning, position) in few-shot mode."""
     content = F.concat(F.lit("Content: "), F.coalesce(F.col(text), F.lit("")))
-    if mode != "few_shot" or examples is None:
+    if mode != "few_shot":
         return texts.withColumn("user_prompt", content)
+    if examples is None:
+        raise ValueError("few-shot prompts need examples")
     shown = F.to_json(F.struct(F.col("label").alias("violates_policy"), F.when(F.col("label"), 0.95).otherwise(0.05).alias("confidence"), F.array().cast("array<string>").alias("key_signals"), "reasoning"))
     block = examples.select("position", F.concat(F.lit("Content: "), "text", F.lit("\nResponse: "), shown).alias("e")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "e"))), lambda x: x["e"]), "\n\n").alias("_examples"))
     return texts.crossJoin(F.broadcast(block)).withColumn("user_prompt", F.concat(F.lit("Labelled examples:\n\n"), F.col("_examples"), F.lit("\n\nNow judge this:\n\n"), content)).drop("_examples")
 
 
+def example_rows(spark: SparkSession, category: str) -> DataFrame:
+    """The shipped examples of a vertical: text, label, reasoning, position."""
+    return spark.createDataFrame([(*row, k) for k, row in enumerate(EXAMPLES[category])], "text string, label boolean, reasoning string, position int")
+
+
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     return tokens_in * price_in / 1_000_000 + tokens_out * price_out / 1_000_000
 
@@ -145,11 +206,19 @@ def with_retries(call: Callable[[], tuple[str, int, int]], max_retries: int, sle
 
 
 class HarmClassifier:
-    def __init__(self, spark: SparkSession, provider: str = "anthropic", model: str | None = None, backend: Backend | None = None, max_retries: int = 3, requests_per_minute: float = 50, policies: dict[str, str] | None = None, sleep: Callable[[float], None] = time.sleep):
+    """Classifies texts through a provider (given its ``api_key``), any ``backend``, or, with neither, offline by a word list.
+
+    Offline rows say so in provider and model, and cost nothing.
+    """
+
+    def __init__(self, spark: SparkSession, provider: str = "anthropic", model: str | None = None, backend: Backend | None = None, api_key: str | None = None, base_url: str | None = None, max_retries: int = 3, requests_per_minute: float = 50, policies: dict[str, str] | None = None, sleep: Callable[[float], None] = time.sleep):
         if provider not in PRICES:
             raise ValueError(f"unknown provider {provider!r}; one of {sorted(PRICES)}")
         self.spark, self.provider, self.model = spark, provider, model or DEFAULT_MODELS[provider]
-        self.backend, self.max_retries, self.sleep = backend or OfflineBackend(), max_retries, sleep
+        self.backend = backend or (backend_for(provider, api_key, self.model, base_url) if api_key else OfflineBackend())
+        self.max_retries, self.sleep, self.prices = max_retries, sleep, PRICES[provider]
+        if isinstance(self.backend, OfflineBackend):
+            (self.provider, self.model), self.prices = OFFLINE, (0.0, 0.0)
         self.requests_per_minute, self.policies = requests_per_minute, policies or POLICIES
 
     def _check(self, category: str, mode: str) -> None:
@@ -158,13 +227,19 @@ class HarmClassifier:
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
 
-    def batch_classify(self, texts: DataFrame, harm_category: str, mode: str = "zero_shot", examples: DataFrame | None = None, parallel: int | None = None) -> DataFrame:
-        """One CLASSIFICATIONS row a text, in parallel; a failed call gives a row of nulls with ``error``.
+    def batch_classify(self, texts: DataFrame, harm_category: str, mode: str = "zero_shot", examples: DataFrame | None = None, parallel: int | None = None, id_cols: tuple[str, ...] = ()) -> DataFrame:
+        """One CLASSIFICATIONS row a text, in parallel, after the ``id_cols`` of ``texts``; a failed call gives a row of nulls with ``error``.
+
+        Few-shot prompts take ``examples``, or else those shipped for the vertical.
 
         The request rate is shared out over ``parallel`` tasks (offline backends are not throttled).
         """
         self._check(harm_category, mode)
-        prompts = user_prompts(texts.select("text"), mode, examples)
+        if mode == "few_shot" and examples is None:
+            if harm_category not in EXAMPLES:
+                raise ValueError(f"no examples for {harm_category!r}")
+            examples = example_rows(self.spark, harm_category)
+        prompts = user_prompts(texts.select(*id_cols, "text"), mode, examples)
         offline = isinstance(self.backend, OfflineBackend)
         if not offline:
             prompts = prompts.repartition(parallel or 1)
@@ -183,22 +258,31 @@ class HarmClassifier:
                         rows.append((text, raw, n_in, n_out, now, None))
                     except Exception as error:  # noqa: BLE001  any failure of one call is that row's error
                         rows.append((text, None, 0, 0, now, str(error)))
-                yield pd.DataFrame(rows, columns=["text", "raw_response", "input_tokens", "output_tokens", "timestamp", "error"])
+                answers = pd.DataFrame(rows, columns=["text", "raw_response", "input_tokens", "output_tokens", "timestamp", "error"])
+                yield pd.concat([batch[list(id_cols)].reset_index(drop=True), answers], axis=1)
 
-        answered = prompts.mapInPandas(run, "text string, raw_response string, input_tokens long, output_tokens long, timestamp string, error string")
-        parsed, failed, (price_in, price_out) = parse_responses(answered), F.col("error").isNotNull(), PRICES[self.provider]
+        kinds = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in id_cols)
+        answered = prompts.mapInPandas(run, kinds + "text string, raw_response string, input_tokens long, output_tokens long, timestamp string, error string")
+        parsed, failed, (price_in, price_out) = parse_responses(answered), F.col("error").isNotNull(), self.prices
         unless_failed = lambda c: F.when(~failed, c)
         values = {
             "harm_category": F.lit(harm_category), "mode": F.lit(mode), "provider": unless_failed(F.lit(self.provider)), "model": unless_failed(F.lit(self.model)),
             "cost_usd": cost(F.col("input_tokens"), F.col("output_tokens"), F.lit(price_in), F.lit(price_out)),
         } | {c: unless_failed(F.col(c)) for c in ("label", "confidence", "key_signals", "reasoning")}
-        return parsed.select(*[values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in CLASSIFICATIONS])
+        return parsed.select(*id_cols, *[values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in CLASSIFICATIONS])
 
     def classify(self, text: str, harm_category: str, mode: str = "zero_shot") -> dict:
         one = self.batch_classify(self.spark.createDataFrame([(text,)], "text string"), harm_category, mode)
         return one.first().asDict()
 
 
+def compare_modes(zero_shot: DataFrame, few_shot: DataFrame, keys: list[str]) -> DataFrame:
+    """Results of both modes for the same texts side by side: keys, label and confidence of each, and whether they agree. Texts that one mode failed on are left out."""
+    side = lambda df, name: df.filter(F.col("label").isNotNull()).select(*keys, F.col("label").alias(f"{name}_label"), F.col("confidence").alias(f"{name}_confidence"))
+    both = side(zero_shot, "zero_shot").join(side(few_shot, "few_shot"), keys)
+    return both.withColumn("agree", F.col("zero_shot_label") == F.col("few_shot_label"))
+
+
 def usage_summary(results: DataFrame) -> DataFrame:
     """Calls, tokens and cost per provider and model, from result rows."""
     done = results.filter(F.col("provider").isNotNull())

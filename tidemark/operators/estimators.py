@@ -28,7 +28,7 @@ def wilson(k: Column, n: Column, confidence: float = 0.95) -> Column:
     p = k / n
     centre = (k + z * z / 2) / (n + z * z)
     half = F.lit(z) * F.sqrt(n * p * (1 - p) + z * z / 4) / (n + z * z)
-    return interval("direct", p, centre - half, centre + half)
+    return interval("direct_proportion", p, centre - half, centre + half)
 
 
 def rogan_gladen(q: Column, tpr: Column, fpr: Column, n: Column, tpr_se: Column | None = None, fpr_se: Column | None = None, confidence: float = 0.95) -> Column:
@@ -50,7 +50,7 @@ def chapman(n1: Column, n2: Column, m: Column, n_corpus: Column, confidence: flo
     n1, n2, m, corpus = (F.when(fine, x.cast("double")) for x in (n1, n2, m, n_corpus))
     total = (n1 + 1) * (n2 + 1) / (m + 1) - 1
     se = F.sqrt(at_least((n1 - m) * (n2 - m), 0.0) / ((n1 + 1) * (n2 + 1) * (m + 1)))
-    return interval("capture_recapture", total / corpus, total * F.exp(-z * se) / corpus, total * F.exp(z * se) / corpus)
+    return interval("chapman_capture_recapture", total / corpus, total * F.exp(-z * se) / corpus, total * F.exp(z * se) / corpus)
 
 
 def naive_rate(q: Column, truth: Column) -> Column:
@@ -127,7 +127,7 @@ class PrevalenceEstimator:
         z2, p = self.z**2, n_positive / n_sample
         centre = (n_positive + z2 / 2) / (n_sample + z2)
         half = self.z * math.sqrt(n_sample * p * (1 - p) + z2 / 4) / (n_sample + z2)
-        return self._made("direct", p, centre - half, centre + half, n_sample)
+        return self._made("direct_proportion", p, centre - half, centre + half, n_sample)
 
     def classifier_adjusted(self, observed_positive_rate: float, tpr: float, fpr: float, n_sample: int, tpr_se: float = 0.0, fpr_se: float = 0.0) -> PrevalenceEstimate:
         d, q = tpr - fpr, observed_positive_rate
@@ -147,7 +147,7 @@ class PrevalenceEstimator:
             raise ValueError("n_corpus must be positive")
         total = (n1 + 1) * (n2 + 1) / (m + 1) - 1
         se = math.sqrt(max(0.0, (n1 - m) * (n2 - m)) / ((n1 + 1) * (n2 + 1) * (m + 1)))
-        return self._made("capture_recapture", total / n_corpus, total * math.exp(-self.z * se) / n_corpus, total * math.exp(self.z * se) / n_corpus, n_corpus, n_estimated=total)
+        return self._made("chapman_capture_recapture", total / n_corpus, total * math.exp(-self.z * se) / n_corpus, total * math.exp(self.z * se) / n_corpus, n_corpus, n_estimated=total)
 
     def compare_all(self, n_positive_gold: int, n_sample: int, observed_positive_rate: float, tpr: float, fpr: float, n1: int, n2: int, m: int, tpr_se: float = 0.0, fpr_se: float = 0.0) -> dict[str, PrevalenceEstimate]:
         return {

@@ -15,14 +15,15 @@ def _z(alpha: float, power: float) -> float:
 
 
 def power_prevalence_test(grid: DataFrame, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
-    """``grid`` (baseline, treatment, estimation_variance, corpus_variance) -> n_naive, inflation, n_per_arm; null where the effect is (about) zero.
+    """``grid`` (baseline, treatment, review_budget) -> n_naive, inflation, n_per_arm; null where the effect is (about) zero.
 
-    Estimation noise inflates the size by 1 + estimation_variance / (corpus_variance / n_naive).
+    The reviewed samples of both arms add noise to the estimates: sizes are inflated by 1 + their variance over that of a corpus of n_naive.
     """
     z, b, t = _z(alpha, power), F.col("baseline"), F.col("treatment")
     delta = F.when(F.abs(t - b) >= 1e-9, t - b)
     naive = F.lit(z * z) * (b * (1 - b) + t * (1 - t)) / (delta * delta)
-    inflation = 1 + ratio(F.col("estimation_variance"), F.col("corpus_variance") / naive)
+    spread = b * (1 - b) + t * (1 - t)
+    inflation = 1 + ratio(spread / F.col("review_budget"), spread / 2 / naive)
     return grid.select("*", F.ceil(naive).cast("long").alias("n_naive"), inflation.alias("inflation"), F.ceil(naive * inflation).cast("long").alias("n_per_arm"), F.abs(delta).alias("effect"))
 
 
@@ -32,9 +33,10 @@ def mde(prevalence: Column, n_corpus: Column, n_review: Column, alpha: float = 0
 
 
 def worked(grid: DataFrame, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
-    """``grid`` (baseline, effect, weekly_corpus, n_review, n_needed): the detectable effect, whether the planned one is powered, weeks needed."""
-    m = mde(F.col("baseline"), F.col("weekly_corpus"), F.col("n_review"), alpha, power)
-    return grid.select("*", m.alias("mde"), (F.abs("effect") >= m).alias("powered"), F.ceil(ratio(F.col("n_needed"), F.col("weekly_corpus"))).cast("long").alias("weeks"))
+    """``grid`` (baseline, treatment, weekly_corpus, review_budget): sizes, the detectable effect, whether the planned one is powered, and the weeks it takes where it is not."""
+    m = mde(F.col("baseline"), F.col("weekly_corpus"), F.col("review_budget"), alpha, power)
+    sized = power_prevalence_test(grid, alpha, power).withColumn("mde", m).withColumn("powered", F.coalesce(F.col("effect") >= m, F.lit(False)))
+    return sized.withColumn("weeks", F.when(~F.col("powered"), F.ceil(ratio(F.col("n_per_arm"), F.col("weekly_corpus"))).cast("long")))
 
 
 def obf_alpha(information: Column, alpha: float = 0.05) -> Column:

@@ -1,6 +1,6 @@
 """Synthetic data: every draw is a hash of (seed, id, purpose), so any partitioning gives the same data.
 
-Beta variates come from sums of hashed exponentials (integer shapes) or from seeded NumPy generators per id block.
+Beta and other variates come from seeded NumPy generators, one per block of ids.
 """
 
 from __future__ import annotations
@@ -49,26 +49,28 @@ def detections(ids: DataFrame, config: SimulationConfig, seed=None) -> DataFrame
     return ids.withColumn("true_label", truth).withColumn("detected_a", hit(config.tpr_a, config.fpr_a, "a")).withColumn("detected_b", hit(config.tpr_b, config.fpr_b, "b"))
 
 
+_BLOCK = 1024
+
+
+def _by_block(ids: np.ndarray, draw) -> np.ndarray:
+    """Draws of a block of ids at a time, each from a generator of its own, so that any partitioning gives the same."""
+    out = None
+    for block in np.unique(ids // _BLOCK):
+        here, made = np.flatnonzero(ids // _BLOCK == block), draw(int(block))
+        out = np.empty(len(ids), dtype=made.dtype) if out is None else out
+        out[here] = made[ids[here] % _BLOCK]
+    return np.empty(0) if out is None else out
+
+
 def _beta_scores(columns: list[tuple[str, float, float]], seed: int):
+    """Scores by Beta(6 r + 1, 6 (1 - r) + 1), r the system's rate for the item's label."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k, (name, t, f) in enumerate(columns):
-                mean = np.where(batch["true_label"], t, f)
-                values = np.empty(len(batch))
-                ids = batch["item_id"].to_numpy()
-                for block in np.unique(ids // 1024):  # a generator per block of ids, whatever the partitioning
-                    rng = np.random.default_rng((seed, k, int(block)))
-                    base, scale = rng.standard_exponential((1024, 16)), rng.random(1024)
-                    here = np.flatnonzero(ids // 1024 == block)
-                    at = ids[here] % 1024
-                    whole = 6 * mean[here] + 1
-                    n = np.floor(whole).astype(int)
-                    # gamma of a real shape by its whole part, mixed with the next one
-                    n = n + (scale[at] < whole - n)
-                    x = np.array([base[a, :m].sum() for a, m in zip(at, n)])
-                    y = np.array([base[a, m:8].sum() for a, m in zip(at, n)])
-                    values[here] = x / (x + y)
-                batch[name] = values
+            ids, truth = batch["item_id"].to_numpy(), batch["true_label"].to_numpy()
+            for k, (name, *rates) in enumerate(columns):
+                high, low = (_by_block(ids, lambda block, r=r, j=j: np.random.default_rng((seed, k, j, block)).beta(6 * r + 1, 6 * (1 - r) + 1, _BLOCK)) for j, r in enumerate(rates))
+                batch[name] = np.where(truth, high, low)
             yield batch
 
     return run
@@ -92,23 +94,40 @@ def simulate_detection_systems(corpus: DataFrame, config: SimulationConfig, samp
 
 
 def run_coverage_simulation(spark: SparkSession, config: SimulationConfig, n_trials: int = 500, sample_size: int = 2000, confidence_level: float = 0.95, tpr_se: float = 0.02, fpr_se: float = 0.01) -> DataFrame:
-    """One row a trial: three estimates and whether each interval covers the truth.
+    """One row a trial: three estimates with their intervals, and whether each covers the truth.
 
-    Draws are independent per item, so the sampled items alone are generated; one aggregation serves all trials.
+    Every trial has a corpus of ``n_corpus`` items of its own, of which a simple random sample is drawn (the least hashes of the trial's seed and the item).
+    Labels and detections depend on seed and item alone, so they are computed for the sampled items. One aggregation serves all trials.
     """
-    n = min(sample_size, config.n_corpus)
-    grid = spark.range(n_trials * n, numPartitions=spark.sparkContext.defaultParallelism).select((F.col("id") / n).cast("long").alias("trial"), (F.col("id") % n).alias("item_id"))
-    drawn = detections(grid, config, F.col("trial") + config.random_seed)
+    n, tasks = min(sample_size, config.n_corpus), spark.sparkContext.defaultParallelism
+    grid = spark.range(n_trials * config.n_corpus, numPartitions=4 * tasks).select((F.col("id") / config.n_corpus).cast("long").alias("trial"), (F.col("id") % config.n_corpus).alias("item_id"))
+    drawn = detections(simple_samples(grid, config, n), config, F.col("trial") + config.random_seed)
     counts = drawn.groupBy("trial").agg(F.count_if("true_label").alias("k"), F.count_if("detected_a").alias("n1"), F.count_if("detected_b").alias("n2"), F.count_if(F.col("detected_a") & F.col("detected_b")).alias("m"))
-    size = F.lit(n)
+    size, pi = F.lit(n), F.lit(config.true_prevalence)
     three = {
         "direct": estimators.wilson(F.col("k"), size, confidence_level),
         "adjusted": estimators.rogan_gladen(F.col("n1") / size, F.lit(config.tpr_a), F.lit(config.fpr_a), size, F.lit(tpr_se), F.lit(fpr_se), confidence_level),
         "chapman": estimators.chapman(F.col("n1"), F.col("n2"), F.col("m"), size, confidence_level),
     }
-    pi = F.lit(config.true_prevalence)
-    columns = [c for name, e in three.items() for c in (e["estimate"].alias(f"{name}_estimate"), pi.between(e["ci_lower"], e["ci_upper"]).alias(f"{name}_covered"))]
-    return counts.select("trial", *columns)
+    columns = [c for name, e in three.items() for c in (e["estimate"].alias(f"{name}_estimate"), e["ci_lower"].alias(f"{name}_ci_lower"), e["ci_upper"].alias(f"{name}_ci_upper"), pi.between(e["ci_lower"], e["ci_upper"]).alias(f"{name}_covered"))]
+    return counts.select("trial", pi.alias("true_prevalence"), *columns)
+
+
+def simple_samples(grid: DataFrame, config: SimulationConfig, n: int) -> DataFrame:
+    """``n`` items of each trial's corpus, those with the least hashes. ``grid``: trial, item_id (below n_corpus).
+
+    Hashes far above the expected n-th least are left out before the rows of a trial are ranked; a trial short of ``n`` then would be an error, not a smaller sample.
+    """
+    from pyspark.sql.window import Window
+
+    share = n / config.n_corpus
+    bound = min(1.0, share + 12 * (share / config.n_corpus) ** 0.5)  # twelve standard deviations
+    key = _draw(F.col("item_id"), F.col("trial") + config.random_seed + 1, "s")
+    near = grid.withColumn("key", key).filter(F.col("key") < F.lit(bound if bound < 1 else 2.0))
+    order = Window.partitionBy("trial")
+    ranked = near.withColumn("place", F.row_number().over(order.orderBy("key", "item_id"))).withColumn("held", F.count("*").over(order))
+    whole = F.when(F.col("held") >= n, True).otherwise(F.raise_error(F.lit("a trial holds fewer items than its sample")).cast("boolean"))
+    return ranked.filter((F.col("place") <= n) & whole).select("trial", "item_id")
 
 
 def coverage_summary(trials: DataFrame, true_prevalence: float) -> DataFrame:
@@ -157,26 +176,22 @@ def simulate_actor_corpus(spark: SparkSession, n_actors: int = 10_000, bad_actor
     kind = F.when(number < first_solo, "good").when(number < first_network, "solo").otherwise("network")
     rows = spark.range(n_actors).withColumnRenamed("id", "number").withColumn("kind", kind)
 
+    def draw(rng: np.random.Generator, law: str, p: list) -> np.ndarray:
+        if law == "int":
+            return rng.integers(*p, size=_BLOCK)
+        if law == "poisson":
+            return rng.poisson(*p, size=_BLOCK)
+        if law == "bernoulli":
+            return rng.random(_BLOCK) < p[0]
+        return np.clip(getattr(rng, law)(p[0], p[1], _BLOCK), p[2], p[3])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = {c: np.empty(len(batch)) for c in POPULATIONS["good"]}
             numbers, kinds = batch["number"].to_numpy(), batch["kind"].to_numpy()
-            for at, (number, name) in enumerate(zip(numbers, kinds)):
-                rng = np.random.default_rng((random_seed, int(number)))
-                for column, (law, *p) in POPULATIONS[name].items():
-                    if law == "int":
-                        value = rng.integers(*p)
-                    elif law == "poisson":
-                        value = rng.poisson(*p)
-                    elif law == "bernoulli":
-                        value = rng.random() < p[0]
-                    else:
-                        value = min(max(getattr(rng, law)(p[0], p[1]), p[2]), p[3])
-                    out[column][at] = value
-            made = pd.DataFrame(out)
-            for column, (law, *_) in POPULATIONS["good"].items():
-                made[column] = made[column].astype(bool if law == "bernoulli" else "int64" if law in ("int", "poisson") else float)
-            made.insert(0, "actor_id", [f"actor_{k:06d}" for k in numbers])
+            made = pd.DataFrame({"actor_id": [f"actor_{k:06d}" for k in numbers]})
+            for at, column in enumerate(POPULATIONS["good"]):
+                values = [_by_block(numbers, lambda block, j=j, laws=laws: draw(np.random.default_rng((random_seed, at, j, block)), laws[column][0], laws[column][1:])) for j, laws in enumerate(POPULATIONS.values())]
+                made[column] = np.select([kinds == name for name in POPULATIONS], values)
             yield made.assign(is_bad_actor=kinds != "good", is_network_actor=kinds == "network", true_label=(kinds != "good").astype("int32"))
 
     columns = "actor_id string, " + ", ".join(f"{c} {'boolean' if law == 'bernoulli' else 'long' if law in ('int', 'poisson') else 'double'}" for c, (law, *_) in POPULATIONS["good"].items())
@@ -184,16 +199,16 @@ def simulate_actor_corpus(spark: SparkSession, n_actors: int = 10_000, bad_actor
     return out.orderBy(F.md5(F.concat("actor_id", F.lit(str(random_seed)))))
 
 
-def weekly_platform(spark: SparkSession, weeks: int = 52, spike: tuple[int, int] = (26, 35), base: float = 0.015, high: float = 0.023, noise: float = 0.002, sampled: int = 2000, seed: int = 42) -> DataFrame:
-    """A year of weekly samples with a spike: per week n1, n2, m, the Chapman estimate over the sampled size and whether the week spiked."""
+def weekly_platform(spark: SparkSession, weeks: int = 52, spike: tuple[int, int] = (26, 35), base: float = 0.015, high: float = 0.023, noise: float = 0.002, sampled: int = 2000, rates: tuple[float, float, float, float] = (0.82, 0.04, 0.74, 0.03), seed: int = 42) -> DataFrame:
+    """A year of weekly samples with a spike (``rates``: tpr and fpr of both systems): per week n1, n2, m, the Chapman estimate over the sampled size and whether the week spiked."""
     week = F.col("week_number")
     spiking = week.between(*spike)
     wobble = (_draw(week, seed, "n1") + _draw(week, seed, "n2") + _draw(week, seed, "n3") - 1.5) * 2 * noise
-    level = F.greatest(F.lit(0.001), F.when(spiking, high).otherwise(base) + wobble)
+    level = F.least(F.lit(0.20), F.greatest(F.lit(0.001), F.when(spiking, high).otherwise(base) + wobble))
     grid = spark.range(weeks * sampled).select((F.col("id") / sampled).cast("int").alias("week_number"), F.col("id").alias("item_id")).withColumn("true_prevalence", level)
     y = _draw(F.col("item_id"), seed, "y") < F.col("true_prevalence")
-    a = _draw(F.col("item_id"), seed, "a") < F.when(y, 0.8).otherwise(0.01)
-    b = _draw(F.col("item_id"), seed, "b") < F.when(y, 0.75).otherwise(0.005)
+    a = _draw(F.col("item_id"), seed, "a") < F.when(y, rates[0]).otherwise(rates[1])
+    b = _draw(F.col("item_id"), seed, "b") < F.when(y, rates[2]).otherwise(rates[3])
     counts = grid.groupBy("week_number").agg(F.first("true_prevalence").alias("true_prevalence"), F.count_if(a).alias("n1"), F.count_if(b).alias("n2"), F.count_if(a & b).alias("m"))
     est = estimators.chapman(F.col("n1"), F.col("n2"), F.col("m"), F.lit(sampled))
     return counts.select("week_number", spiking.alias("spike"), "true_prevalence", "n1", "n2", "m", F.coalesce(est["estimate"], ratio(F.col("n1"), F.lit(sampled))).alias("estimated_prevalence"), est["ci_lower"].alias("ci_lower"), est["ci_upper"].alias("ci_upper"))
@@ -209,27 +224,32 @@ def sampling_efficiency(actors: DataFrame, budgets: list[int], trials: int, labe
     v = F.greatest(_draw(F.concat_ws("|", "trial", "actor_id"), seed, "v"), F.lit(1e-12))
     each = actors.select("actor_id", F.col(label).cast("double").alias("y"), F.col(weight).alias("w")).crossJoin(F.broadcast(grid))
     ranked = each.withColumn("ru", F.row_number().over(Window.partitionBy("trial").orderBy(u, "actor_id"))).withColumn("rw", F.row_number().over(Window.partitionBy("trial").orderBy(-F.log(v) / F.col("w"), "actor_id"))).filter((F.col("ru") <= max(budgets)) | (F.col("rw") <= max(budgets)))
-    sums = [c for n in budgets for c in (F.sum(F.when(F.col("ru") <= n, F.col("y"))).alias(f"u{n}"), ratio(F.sum(F.when(F.col("rw") <= n, F.col("y") / F.col("w"))), F.sum(F.when(F.col("rw") <= n, 1 / F.col("w")))).alias(f"h{n}"))]
+    # a positive drawn by weight counts 1 / (weight * budget); the total is rounded and held within the budget
+    sums = [c for n in budgets for c in (F.sum(F.when(F.col("ru") <= n, F.col("y"))).alias(f"u{n}"), F.least(F.lit(float(n)), F.bround(F.sum(F.when(F.col("rw") <= n, F.col("y") / (F.col("w") * n))), 0)).alias(f"h{n}"))]
     per_trial = ranked.groupBy("trial").agg(*sums)
-    rows = F.array(*[F.struct(F.lit(n).alias("budget"), estimators.wilson(F.col(f"u{n}"), F.lit(n))["ci_width"].alias("uniform_width"), estimators.wilson(F.col(f"h{n}") * n, F.lit(n))["ci_width"].alias("weighted_width")) for n in budgets])
+    rows = F.array(*[F.struct(F.lit(n).alias("budget"), estimators.wilson(F.col(f"u{n}"), F.lit(n))["ci_width"].alias("uniform_width"), estimators.wilson(F.col(f"h{n}"), F.lit(n))["ci_width"].alias("weighted_width")) for n in budgets])
     means = per_trial.select(F.inline(rows)).groupBy("budget").agg(F.avg("uniform_width").alias("uniform_width"), F.avg("weighted_width").alias("weighted_width"))
     return means.withColumn("reduction", 1 - ratio(F.col("weighted_width"), F.col("uniform_width")))
 
 
-def simulate_arms(spark: SparkSession, n: int, arms: dict[str, float], prevalence: float = 0.01, seed: int = 42) -> DataFrame:
-    """item_id, arm, score: Beta(10 t, 10 (1 - t)) scores, t the arm's mean for harmful items and a tenth of it for others."""
+def simulate_arms(spark: SparkSession, n: int, arms: dict[str, float], tpr: float = 0.90, fpr: float = 0.05, seed: int = 42) -> DataFrame:
+    """item_id, arm, harmful, score: ``arms`` gives each arm's prevalence; scores are Beta(10 tpr, 10 (1 - tpr)) for harmful items and the same of fpr for others."""
+    names = sorted(arms)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            ids, arm = batch["item_id"].to_numpy(), batch["arm"].to_numpy()
             score = np.empty(len(batch))
-            for at, (item, arm, harmful) in enumerate(zip(batch["item_id"], batch["arm"], batch["harmful"])):
-                t = arms[arm] if harmful else arms[arm] / 10
-                score[at] = np.random.default_rng((seed, sorted(arms).index(arm), int(item))).beta(10 * t, 10 * (1 - t))
+            for k, name in enumerate(names):
+                here = np.flatnonzero(arm == name)
+                high, low = (_by_block(ids[here], lambda block, r=r, j=j: np.random.default_rng((seed, k, j, block)).beta(10 * r, 10 * (1 - r), _BLOCK)) for j, r in enumerate((tpr, fpr)))
+                score[here] = np.where(batch["harmful"].to_numpy()[here], high, low)
             yield batch.assign(score=score)
 
-    names = F.array(*[F.lit(a) for a in sorted(arms)])
-    rows = spark.range(n).withColumnRenamed("id", "item_id").select("item_id", F.explode(names).alias("arm")).withColumn("harmful", _draw(F.col("item_id"), seed, "y") < prevalence)
-    return rows.mapInPandas(run, "item_id long, arm string, harmful boolean, score double")
+    rates = F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(float(arms[a])).alias("prevalence")) for a in names])
+    rows = spark.range(n).withColumnRenamed("id", "item_id").select("item_id", F.inline(rates))
+    labelled = rows.withColumn("harmful", _draw(F.concat_ws("|", "arm", "item_id"), seed, "y") < F.col("prevalence")).drop("prevalence")
+    return labelled.mapInPandas(run, "item_id long, arm string, harmful boolean, score double")
 
 
 def signal_hits(ids: DataFrame, prevalence: float, tpr: float, fpr: float, seed: int = 42) -> DataFrame:

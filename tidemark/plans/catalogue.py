@@ -6,6 +6,7 @@ A query is registered with ``@query(name, sql)``; doubles are rounded to six pla
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -240,9 +241,9 @@ def _scored(spark, sf):
 
 
 COUNTS = "k AS (SELECT harm_vertical, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE label))::DOUBLE AS k, (count(*) FILTER (WHERE detected_a))::DOUBLE AS n1, (count(*) FILTER (WHERE detected_b))::DOUBLE AS n2, (count(*) FILTER (WHERE detected_a AND detected_b))::DOUBLE AS m FROM scored GROUP BY ALL)"
-WILSON = f"SELECT harm_vertical, 'direct' AS method, k / n AS e, (k + {Z} * {Z} / 2 - {Z} * sqrt(k * (1 - k / n) + {Z} * {Z} / 4)) / (n + {Z} * {Z}) AS lo, (k + {Z} * {Z} / 2 + {Z} * sqrt(k * (1 - k / n) + {Z} * {Z} / 4)) / (n + {Z} * {Z}) AS hi FROM k"
+WILSON = f"SELECT harm_vertical, 'direct_proportion' AS method, k / n AS e, (k + {Z} * {Z} / 2 - {Z} * sqrt(k * (1 - k / n) + {Z} * {Z} / 4)) / (n + {Z} * {Z}) AS lo, (k + {Z} * {Z} / 2 + {Z} * sqrt(k * (1 - k / n) + {Z} * {Z} / 4)) / (n + {Z} * {Z}) AS hi FROM k"
 GLADEN = f"SELECT harm_vertical, 'classifier_adjusted' AS method, (q - f) / (t - f) AS e, (q - f) / (t - f) - {Z} * sqrt(v) AS lo, (q - f) / (t - f) + {Z} * sqrt(v) AS hi FROM (SELECT *, q * (1 - q) / n / ((t - f) * (t - f)) + pow((q - f) / ((t - f) * (t - f)), 2) * 0.0004 + pow((t - q) / ((t - f) * (t - f)), 2) * 0.0001 AS v FROM (SELECT *, n1 / n AS q, 0.6::DOUBLE AS t, 0.1::DOUBLE AS f FROM k))"
-CHAPMAN = f"SELECT harm_vertical, 'capture_recapture' AS method, t / n AS e, t * exp(-{Z} * s) / n AS lo, t * exp({Z} * s) / n AS hi FROM (SELECT *, (n1 + 1) * (n2 + 1) / (m + 1) - 1 AS t, sqrt(greatest((n1 - m) * (n2 - m), 0) / ((n1 + 1) * (n2 + 1) * (m + 1))) AS s FROM k)"
+CHAPMAN = f"SELECT harm_vertical, 'chapman_capture_recapture' AS method, t / n AS e, t * exp(-{Z} * s) / n AS lo, t * exp({Z} * s) / n AS hi FROM (SELECT *, (n1 + 1) * (n2 + 1) / (m + 1) - 1 AS t, sqrt(greatest((n1 - m) * (n2 - m), 0) / ((n1 + 1) * (n2 + 1) * (m + 1))) AS s FROM k)"
 CLIPPED = f"{_r('e', 'estimate')}, {_r('greatest(0, lo)', 'ci_lower')}, {_r('least(1, hi)', 'ci_upper')}"
 
 
@@ -571,27 +572,71 @@ def coordination_edges(spark, sf):
     return rounded(networks.similarity_edges(_vectors(spark, sf), 0.4))
 
 
-@query("coordination_clusters")
+# the greedy scan, one step a node: a node with enough neighbours that no earlier seed touches becomes a seed
+LEADERS = """
+no AS (
+    SELECT id, u, row_number() OVER (ORDER BY id) AS n FROM un
+), nb AS (
+    SELECT a.n, any_value(a.id) AS id, list(b.n) AS near FROM no a JOIN no b ON a.n = b.n OR round(list_dot_product(a.u, b.u), 12) >= {threshold} GROUP BY a.n
+), st(n, seeds) AS (
+    SELECT 0::BIGINT, []::BIGINT[]
+    UNION ALL
+    SELECT nb.n, CASE WHEN len(near) >= 3 AND len(list_intersect(seeds, near)) = 0 THEN list_append(seeds, nb.n) ELSE seeds END FROM st JOIN nb ON nb.n = st.n + 1
+), cl AS (
+    SELECT id, seed FROM (SELECT nb.id, list_min(list_intersect(nb.near, f.seeds)) AS k FROM nb, (SELECT seeds FROM st ORDER BY n DESC LIMIT 1) f) x
+    JOIN (SELECT n, id AS seed FROM no) s ON s.n = x.k
+)"""
+UNIT_ACTORS = """
+f5 AS (
+    SELECT actor_id, unique_content_ratio AS a, api_usage_fraction AS b, velocity AS c, newness AS d, repetition AS e FROM ar
+), mm AS (
+    SELECT min(a) AS a0, max(a) - min(a) AS a1, min(b) AS b0, max(b) - min(b) AS b1, min(c) AS c0, max(c) - min(c) AS c1, min(d) AS d0, max(d) - min(d) AS d1, min(e) AS e0, max(e) - min(e) AS e1 FROM f5
+), vs AS (
+    SELECT actor_id, list_transform([(a - a0) / nullif(a1, 0), (b - b0) / nullif(b1, 0), (c - c0) / nullif(c1, 0), (d - d0) / nullif(d1, 0), (e - e0) / nullif(e1, 0)], lambda x: coalesce(x, 0)::DOUBLE) AS v FROM f5, mm
+), un AS (
+    SELECT actor_id AS id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM vs WHERE list_sum(list_transform(v, lambda y: y * y)) > 0
+)"""
+CLUSTERED = """
+sz AS (
+    SELECT seed, count(*) AS size, row_number() OVER (ORDER BY seed) - 1 AS cluster_id FROM cl GROUP BY seed
+), ca AS (
+    SELECT ar.*, coalesce(cluster_id, -1) AS network_cluster_id, coalesce(ln(1 + size) / (SELECT ln(1 + max(size)) FROM sz), 0) AS coordination
+    FROM ar LEFT JOIN cl ON ar.actor_id = cl.id LEFT JOIN sz ON cl.seed = sz.seed
+)"""
+
+
+def _clusters_sql(select: str) -> str:
+    text = with_ctes(f", {SCORED_ACTORS}, {UNIT_ACTORS}, {LEADERS.format(threshold=0.9)}, {CLUSTERED} {select}", *ACTOR_CTES)
+    assert text.lstrip().startswith("WITH ")
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+RESCORED = " + ".join(f"{w!r}::DOUBLE * {name}" for name, w in A.DEFAULT_WEIGHTS.items())
+RETIERED = "CASE " + " ".join(f"WHEN s >= {cut} THEN '{name}'" for name, cut in A.TIER_CUTS) + " ELSE 'low' END"
+
+
+@query("coordination_clusters", _clusters_sql(f"SELECT actor_id, network_cluster_id, {_r('coordination', 'coordination_score')}, {_r('s', 'composite_score')}, {RETIERED} AS risk_tier FROM (SELECT *, least(1, greatest(0, {RESCORED})) AS s FROM ca)"))
 def coordination_clusters(spark, sf):
     scored, _ = networks.detect_coordination_networks(_actors(spark, sf), 0.9, 3)
     return rounded(scored.select("actor_id", "network_cluster_id", "coordination_score", "composite_score", "risk_tier"))
 
 
-@query("coordination_report")
+@query("coordination_report", _clusters_sql(f"SELECT sz.cluster_id, sz.size, (SELECT string_agg(id, ',' ORDER BY id) FROM cl WHERE cl.seed = sz.seed) AS actor_ids, {_r('(SELECT avg(list_dot_product(a.u, b.u)) FROM cl x JOIN un a ON x.id = a.id JOIN cl y ON y.seed = x.seed AND y.id <> x.id JOIN un b ON y.id = b.id WHERE x.seed = sz.seed)', 'avg_similarity')} FROM sz WHERE size >= 3"))
 def coordination_report(spark, sf):
-    return rounded(networks.detect_coordination_networks(_actors(spark, sf), 0.9, 3)[1])
+    report = networks.detect_coordination_networks(_actors(spark, sf), 0.9, 3)[1]
+    return rounded(report.withColumn("actor_ids", F.array_join("actor_ids", ",")))
 
 
-@query("embedding_leaders")
+@query("embedding_leaders", f"WITH RECURSIVE {UNIT.replace('SELECT vec_id, list_transform(v', 'SELECT vec_id AS id, list_transform(v')}, {LEADERS.format(threshold=0.4)} SELECT id, seed FROM cl")
 def embedding_leaders(spark, sf):
     v = _vectors(spark, sf)
     return networks.leader_clusters(v, networks.similarity_edges(v, 0.4), 3)
 
 
-@query("cluster_lift", with_ctes(f", {SCORED_ACTORS} SELECT {_r('a', 'rate_in')}, {_r('b', 'rate_out')}, {_r('a / nullif(b, 0)', 'lift')} FROM (SELECT avg((prior_enforcement_count > 10)::INT) FILTER (WHERE composite >= 0.35) AS a, avg((prior_enforcement_count > 10)::INT) FILTER (WHERE composite < 0.35) AS b FROM ar)", *ACTOR_CTES))
+@query("cluster_lift", _clusters_sql(f"SELECT {_r('a', 'rate_in')}, {_r('b', 'rate_out')}, {_r('a / nullif(b, 0)', 'lift')} FROM (SELECT avg((prior_enforcement_count > 10)::INT) FILTER (WHERE network_cluster_id >= 0) AS a, avg((prior_enforcement_count > 10)::INT) FILTER (WHERE network_cluster_id < 0) AS b FROM ca)"))
 def cluster_lift(spark, sf):
-    df = _actors(spark, sf).withColumn("bad", F.col("prior_enforcement_count") > 10)
-    return rounded(A.lift(df, F.col("composite_score") >= 0.35, "bad"))
+    placed, _ = networks.detect_coordination_networks(_actors(spark, sf), 0.9, 3)
+    return rounded(A.lift(placed.withColumn("bad", F.col("prior_enforcement_count") > 10), F.col("network_cluster_id") >= 0, "bad"))
 
 
 # ---- monitors ----------------------------------------------------------------------------------------------
@@ -688,10 +733,23 @@ ZP = repr(experiment._z(0.05, 0.8))
 TREATED = (0.004, 0.0055, 0.008, 0.012)
 
 
-@query("power_grid", f"SELECT baseline, treatment, ceil(nn)::BIGINT AS n_naive, {_r('1 + 1e-6::DOUBLE / (0.01::DOUBLE / nn)', 'inflation')}, ceil(nn * (1 + 1e-6::DOUBLE / (0.01::DOUBLE / nn)))::BIGINT AS n_per_arm, {_r('d', 'effect')} FROM (SELECT *, {ZP} * {ZP} * (baseline * (1 - baseline) + treatment * (1 - treatment)) / (d * d) AS nn FROM (SELECT *, CASE WHEN abs(treatment - baseline) >= 1e-9 THEN abs(treatment - baseline) END AS d FROM {_values('baseline', (0.004, 0.01))}, {_values('treatment', TREATED)}))")
+# z * z * spread / effect^2, and 1 + (spread / budget) / (spread / 2 / n)
+POWER = f"""
+SELECT baseline, treatment, review_budget, ceil(nn)::BIGINT AS n_naive, {_r('1 + 2 * nn / review_budget', 'inflation')},
+    ceil(nn * (1 + 2 * nn / review_budget))::BIGINT AS n_per_arm, {_r('d', 'effect')}
+FROM (
+    SELECT *, {ZP} * {ZP} * (baseline * (1 - baseline) + treatment * (1 - treatment)) / (d * d) AS nn
+    FROM (
+        SELECT *, CASE WHEN abs(treatment - baseline) >= 1e-9 THEN abs(treatment - baseline) END AS d
+        FROM {_values('baseline', (0.004, 0.01))}, {_values('treatment', TREATED)}, {_values('review_budget', (2000.0, 5000.0))}
+    )
+)"""
+
+
+@query("power_grid", POWER)
 def power_grid(spark, sf):
-    grid = _grid(spark, "baseline", (0.004, 0.01)).crossJoin(_grid(spark, "treatment", TREATED)).select("*", F.lit(1e-6).alias("estimation_variance"), F.lit(0.01).alias("corpus_variance"))
-    return rounded(experiment.power_prevalence_test(grid).select("baseline", "treatment", "n_naive", "inflation", "n_per_arm", "effect"))
+    grid = _grid(spark, "baseline", (0.004, 0.01)).crossJoin(_grid(spark, "treatment", TREATED)).crossJoin(_grid(spark, "review_budget", (2000.0, 5000.0)))
+    return rounded(experiment.power_prevalence_test(grid).select("baseline", "treatment", "review_budget", "n_naive", "inflation", "n_per_arm", "effect"))
 
 
 @query("mde_grid", f"SELECT prevalence, n, {_r(f'{ZP} * sqrt(2 * prevalence * (1 - prevalence) * (1 / 1000000.0::DOUBLE + 1 / n))', 'mde')}, {_r(f'{ZP} * sqrt(2 * prevalence * (1 - prevalence) * (1 / 1000000.0::DOUBLE + 1 / n)) / prevalence', 'relative_mde')} FROM {_values('prevalence', PIS)}, {_values('n', NS)}")
@@ -700,13 +758,25 @@ def mde_grid(spark, sf):
     return rounded(_grid(spark, "prevalence", PIS).crossJoin(_grid(spark, "n", NS)).select("prevalence", "n", m.alias("mde"), ratio(m, F.col("prevalence")).alias("relative_mde")))
 
 
-@query("worked_experiment", f"SELECT effect, {_r('m', 'mde')}, effect >= m AS powered, ceil(250000 / 100000.0::DOUBLE)::BIGINT AS weeks FROM (SELECT effect, {ZP} * sqrt(2 * 0.005 * 0.995 * (1 / 100000.0::DOUBLE + 1 / 3000.0::DOUBLE)) AS m FROM {_values('effect', (0.001, 0.004, 0.01))})")
+WORKED = f"""
+SELECT treatment, {_r('m', 'mde')}, d >= m AS powered, CASE WHEN d < m THEN ceil(ceil(nn * (1 + 2 * nn / 3000)) / 2000000)::BIGINT END AS weeks
+FROM (
+    SELECT *, {ZP} * sqrt(2 * 0.005 * 0.995 * (1 / 2000000.0::DOUBLE + 1 / 3000.0::DOUBLE)) AS m, {ZP} * {ZP} * (0.005 * 0.995 + treatment * (1 - treatment)) / (d * d) AS nn
+    FROM (SELECT treatment, abs(treatment - 0.005) AS d FROM {_values('treatment', (0.00425, 0.001, 0.02))})
+)"""
+
+
+@query("worked_experiment", WORKED)
 def worked_experiment(spark, sf):
-    grid = _grid(spark, "effect", (0.001, 0.004, 0.01)).select("*", F.lit(0.005).alias("baseline"), F.lit(100_000.0).alias("weekly_corpus"), F.lit(3000.0).alias("n_review"), F.lit(250_000.0).alias("n_needed"))
-    return rounded(experiment.worked(grid).select("effect", "mde", "powered", "weeks"))
+    grid = _grid(spark, "treatment", (0.00425, 0.001, 0.02)).select("*", F.lit(0.005).alias("baseline"), F.lit(2_000_000.0).alias("weekly_corpus"), F.lit(3000.0).alias("review_budget"))
+    return rounded(experiment.worked(grid).select("treatment", "mde", "powered", "weeks"))
+
+
+# what each of eight looks may spend, by the standard library's normal distribution
+SPENT = ", ".join(f"({k}, {2 * (1 - NormalDist().cdf(z_value() / (k / 8) ** 0.5))!r}::DOUBLE)" for k in range(1, 9))
 
 
-@query("obf_alpha")
+@query("obf_alpha", f"SELECT look::BIGINT AS look, {_r('a', 'alpha_spent')} FROM (VALUES {SPENT}) v(look, a)")
 def obf_alpha(spark, sf):
     return rounded(spark.range(1, 9).select(F.col("id").alias("look"), experiment.obf_alpha(F.col("id") / 8.0).alias("alpha_spent")))
 
@@ -796,7 +866,9 @@ def _draw_sql(key: str, purpose: str) -> str:
 
 def _sim_sql(trials: int, n: int) -> str:
     key = "(trial + 42)::VARCHAR || ':' || item_id::VARCHAR"
-    return f"""WITH t AS (SELECT i // {n} AS trial, i % {n} AS item_id FROM range({trials * n}) r(i)),
+    sampled = "(trial + 43)::VARCHAR || ':' || item_id::VARCHAR"
+    return f"""WITH i AS (SELECT i // 50000 AS trial, i % 50000 AS item_id FROM range({trials * 50000}) r(i)),
+t AS (SELECT trial, item_id FROM (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY h, item_id) AS place FROM (SELECT *, {_draw_sql(sampled, 's')} AS h FROM i) WHERE h < 0.1) WHERE place <= {n}),
 y AS (SELECT *, {_draw_sql(key, 'y')} < 0.02 AS y FROM t),
 c AS (SELECT trial, {n}::DOUBLE AS n, (count(*) FILTER (WHERE y))::DOUBLE AS k, (count(*) FILTER (WHERE a))::DOUBLE AS n1, (count(*) FILTER (WHERE b))::DOUBLE AS n2, (count(*) FILTER (WHERE a AND b))::DOUBLE AS m
     FROM (SELECT trial, y, {_draw_sql(key, 'a')} < CASE WHEN y THEN 0.8 ELSE 0.05 END AS a, {_draw_sql(key, 'b')} < CASE WHEN y THEN 0.75 ELSE 0.03 END AS b FROM y) GROUP BY trial),
@@ -817,7 +889,7 @@ def simulated_corpus(spark, sf):
     return rounded(simulate.generate_corpus(spark, simulate.SimulationConfig(n_corpus=5000)))
 
 
-@query("simulated_detections")
+@query("simulated_detections", f"WITH t AS (SELECT item_id, {_draw_sql(chr(39) + '42:' + chr(39) + ' || item_id::VARCHAR', 'y')} < 0.01 AS true_label FROM range(20000) r(item_id)) SELECT item_id, true_label, {_draw_sql(chr(39) + '42:' + chr(39) + ' || item_id::VARCHAR', 'a')} < CASE WHEN true_label THEN 0.8 ELSE 0.05 END AS detected_a, {_draw_sql(chr(39) + '42:' + chr(39) + ' || item_id::VARCHAR', 'b')} < CASE WHEN true_label THEN 0.75 ELSE 0.03 END AS detected_b FROM t ORDER BY md5(item_id::VARCHAR || ':43'), item_id LIMIT 2000")
 def simulated_detections(spark, sf):
     config = simulate.SimulationConfig(n_corpus=20_000)
     ids = spark.range(config.n_corpus).withColumnRenamed("id", "item_id")
@@ -846,9 +918,9 @@ def weekly_platform(spark, sf):
 
 @query("sampling_efficiency")
 def sampling_efficiency(spark, sf):
-    scored = A.ActorFeatureExtractor().compute_risk_scores(simulate.simulate_actor_corpus(spark, 1000, 0.1))
+    scored = A.ActorFeatureExtractor().compute_risk_scores(simulate.simulate_actor_corpus(spark, 10_000, 0.1))
     weighted = A.ActorFeatureExtractor().stratum_sampling_weights(scored)
-    return rounded(simulate.sampling_efficiency(weighted, [50, 200], 20))
+    return rounded(simulate.sampling_efficiency(weighted, [100, 200, 500, 1000, 2000, 5000], 500))
 
 
 @query("seven_day_grid", "SELECT week_number::INT AS week_number, (DATE '2025-01-06' + INTERVAL 7 DAYS * week_number)::DATE AS week FROM range(12) r(week_number)")
@@ -888,7 +960,7 @@ def formatted_report(spark, sf):
 
 @query("simulated_arms")
 def simulated_arms(spark, sf):
-    return rounded(experiment.proxy_metrics(simulate.simulate_arms(spark, 2000, {"control": 0.6, "treatment": 0.7}, 0.1), "arm", "score"))
+    return rounded(experiment.proxy_metrics(simulate.simulate_arms(spark, 50_000, {"control": 0.010, "treatment": 0.008}), "arm", "score"))
 
 
 @query("signal_hits", f"WITH t AS (SELECT item_id, {_draw_sql(chr(39) + '42:' + chr(39) + ' || item_id::VARCHAR', 'y')} < 0.01 AS true_label FROM range(20000) r(item_id)), h AS (SELECT *, {_draw_sql(chr(39) + '42:' + chr(39) + ' || item_id::VARCHAR', 'h')} < CASE WHEN true_label THEN 0.65 ELSE 0.04 END AS hit FROM t) SELECT hit, count(*) AS n, {_r('avg(true_label::INT)', 'rate')} FROM h GROUP BY hit")
@@ -941,10 +1013,26 @@ RESPONSES = (
 )
 
 
-@query("parse_model_json")
+ANSWERS = ", ".join(f"({k}, {'NULL' if r is None else chr(39) + r + chr(39)})" for k, r in RESPONSES)
+PARSE_SQL = rf"""
+WITH r AS (
+    SELECT id, regexp_replace(coalesce(raw, ''), '^\s+|\s+$', '', 'g') AS t FROM (VALUES {ANSWERS}) v(id, raw)
+), c AS (
+    SELECT id, regexp_replace(CASE WHEN starts_with(t, '```') THEN regexp_replace(string_split(t, '```')[2], '^json', '') ELSE t END, '^\s+|\s+$', '', 'g') AS c FROM r
+), f AS (
+    SELECT id, starts_with(c, '{{') AND json_valid(c) AS fine, CASE WHEN starts_with(c, '{{') AND json_valid(c) THEN c ELSE '{{}}' END AS j FROM c
+)
+SELECT id, lower(coalesce(json_extract_string(j, '$.violates_policy'), 'false')) = 'true' AS label,
+    coalesce(try_cast(json_extract_string(j, '$.confidence') AS DOUBLE), 0.5) AS confidence,
+    coalesce(array_to_string(json_extract_string(j, '$.key_signals[*]'), '|'), '') AS key_signals,
+    CASE WHEN fine THEN coalesce(json_extract_string(j, '$.reasoning'), '') ELSE 'Parse error: not a JSON object' END AS reasoning
+FROM f"""
+
+
+@query("parse_model_json", PARSE_SQL)
 def parse_model_json(spark, sf):
     df = spark.createDataFrame(RESPONSES, "id int, raw_response string")
-    return classify.parse_responses(df).drop("raw_response")
+    return classify.parse_responses(df).drop("raw_response").withColumn("key_signals", F.array_join("key_signals", "|"))
 
 
 def _texts(spark, sf):
@@ -961,9 +1049,25 @@ def offline_classify(spark, sf):
     return rounded(classify.HarmClassifier(spark).batch_classify(_texts(spark, sf), "platform_abuse").drop("timestamp"))
 
 
-@query("usage_summary", "SELECT 'anthropic' AS provider, 'claude-sonnet-4-6' AS model, count(*) AS calls FROM conversations")
+WORDS = "[" + ", ".join(f"'{w}'" for w in classify.OfflineBackend().words) + "]"
+# words of the prompt; the answer has four keys, at least one signal or an empty list, and a reason of two words
+FIXED_WORDS = len((classify.system_prompt("platform_abuse") + "Content: ").split())
+OFFLINE_SQL = f"""o AS (
+    SELECT conv_id, turn, text, {FIXED_WORDS} + len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS n_in, len(list_filter({WORDS}, lambda w: list_contains(regexp_extract_all(lower(coalesce(text, '')), '\\S+'), w))) AS found
+    FROM conversations
+)"""
+
+
+@query("usage_summary", f"WITH {OFFLINE_SQL} SELECT 'offline' AS provider, 'word-list' AS model, count(*) AS calls, sum(n_in)::BIGINT AS input_tokens, sum(8 + greatest(1, found))::BIGINT AS output_tokens, 0.0::DOUBLE AS cost_usd, 0.0::DOUBLE AS cost_per_1k FROM o")
 def usage_summary(spark, sf):
-    return classify.usage_summary(classify.HarmClassifier(spark).batch_classify(_texts(spark, sf), "platform_abuse")).select("provider", "model", "calls")
+    return rounded(classify.usage_summary(classify.HarmClassifier(spark).batch_classify(_texts(spark, sf), "platform_abuse")))
+
+
+@query("mode_comparison", f"WITH {OFFLINE_SQL} SELECT conv_id, turn, found > 0 AS zero_shot_label, found > 0 AS few_shot_label, true AS agree FROM o")
+def mode_comparison(spark, sf):
+    ids, classifier = ("conv_id", "turn"), classify.HarmClassifier(spark)
+    zero, few = (classifier.batch_classify(_texts(spark, sf), "platform_abuse", mode, id_cols=ids) for mode in classify.MODES)
+    return classify.compare_modes(zero, few, list(ids)).select(*ids, "zero_shot_label", "few_shot_label", "agree")
 
 
 @query("hash_uniform_draw", f"SELECT event_id, {_r(adapters._u('event_id', 'x'), 'u')} FROM events")

@@ -52,7 +52,7 @@ def adjusted(observed: DataFrame, gold: DataFrame) -> DataFrame:
 def prevalence_rollup(items: DataFrame, gold: DataFrame) -> DataFrame:
     """The whole report."""
     g = gold_aggregates(gold)
-    a = adjusted(observed_rates(items), g).drop("tpr", "fpr").join(g.select(*KEYS, "tpr", "fpr"), KEYS)
+    a = adjusted(observed_rates(items), g)
     low, high = ht_columns()
     raw, se = F.col("adjusted_raw"), F.col("adjusted_se")
     combined = g.drop("tpr", "fpr").join(a, KEYS, "left").select(

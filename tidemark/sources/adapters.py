@@ -67,7 +67,7 @@ def enforcement_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     lines = read(spark, sf_dir, "lineitem").join(items, F.col("l_orderkey") == F.col("o_orderkey"))
     action = F.when(F.col("l_returnflag") == "A", "remove").when(F.col("l_returnflag") == "N", "restrict").otherwise("warn")
-    return lines.filter(F.col("l_linenumber") <= 2).select(
+    return lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("action_id"),
         F.col("l_orderkey").cast("string").alias("item_id"),
         action.alias("action_type"),
@@ -142,7 +142,7 @@ CTES = {
         CASE WHEN l_returnflag = 'A' THEN 'remove' WHEN l_returnflag = 'N' THEN 'restrict' ELSE 'warn' END AS action_type,
         CASE WHEN l_partkey % 8 <> 0 THEN o_orderpriority END AS harm_vertical, l_shipdate AS actioned_at,
         CASE WHEN l_linestatus = 'F' THEN 'human' ELSE 'classifier' END AS actioned_by, {_MONDAY.format('l_shipdate')} AS week
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2)""",
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "actors": """actors AS (
     SELECT user_id::VARCHAR AS actor_id, floor((epoch_us(max(last)) - epoch_us(min(ts))) / 86400000000.0)::BIGINT AS account_age_days,
         count(*) FILTER (WHERE ts > last - INTERVAL 7 DAYS) AS post_count_7d, count(*) FILTER (WHERE ts > last - INTERVAL 30 DAYS) AS post_count_30d,
