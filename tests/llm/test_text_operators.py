@@ -112,6 +112,24 @@ def test_byte_bpe_round_trip(spark, edge, ranks):
     assert byte_bpe.round_trip_digests(edge.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_round_trip_digests_equal_the_library(spark, edge, ranks):
+    from hashlib import sha256
+
+    rng = random.Random(6)
+    long = "".join(rng.choice(["word", " ", "  ", "\n", "'ll", "é", "12345", "!?", "漢字", " Straße"]) for _ in range(900_000))
+    docs = edge.select("doc_id", "text").unionByName(spark.createDataFrame([(70, long), (71, "y" * 60_000), (70, "again " * 9000)], "doc_id long, text string"))
+    library = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN).encoding
+    want = []
+    for r in docs.collect():
+        ids = library.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256((r.text or "").encode()).hexdigest()))
+    got = byte_bpe.round_trip_digests(docs, ranks, public_tokenizers.PATTERN)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    small = byte_bpe.round_trip_digests(docs.filter("length(text) < 60000 OR text IS NULL"), ranks, public_tokenizers.PATTERN, 40, 5)
+    assert sorted(map(str, map(tuple, small.collect()))) == sorted(str(w) for w in want if w[0] != 70 and w[0] != 71 or w[1] < 60_000 and w[0] == 70)
+
+
 # ---- 8: packing ----
 
 

@@ -1,34 +1,31 @@
 """Byte-level BPE: overlapping chunk encoding and byte-wise decoding.
 
-A long text is cut into chunks that overlap; every chunk is pre-tokenised on its
-own, from wherever it happens to start. What the pattern matches from a position
-on depends on the text from there alone, so two neighbours that share one
-boundary inside their overlap agree from it on. The first shared boundary is the
-stitch; left of it the earlier chunk's pieces count, right of it the later one's.
-Only then are the pieces merged. Where an overlap holds no shared boundary (one
-run of letters longer than the overlap, say) the earlier chunk is pre-tokenised
-further into the later one until they meet, so the result never depends on
-chunk or overlap sizes.
-
-Documents are spread over tasks by their rows; the chunks of one long text bound
-what a pre-tokenisation holds at a time.
-
-Defined cases: null text is empty and has no ids; ids come back in any row order;
-decoding joins the bytes of the ids, so ids that split a character decode to its raw bytes.
+Texts are cut into chunks that overlap, and the chunks are rows of their own: each is pre-tokenised by whichever task has it, from wherever it
+happens to start, and its pieces are merged there. What the pattern matches from a position on depends on the text from
+there alone, so two neighbours that share one boundary inside their overlap agree from it on. The first shared boundary is the stitch; left of
+it the earlier chunk's pieces count, right of it the later one's. The ids of a document are those of its stitched pieces, in order. Where
+an overlap holds no shared boundary (one run of letters longer than the overlap, say) the document is
+pre-tokenised from its start, so the result never depends on chunk or overlap sizes.
+
+A document of one chunk has nothing to stitch and is finished where it is; the chunks of longer ones are spread over all tasks and meet again by document.
+
+Defined cases: null text is empty and has no ids; very long texts are many chunks; ids come back in any row order; repeated rows (ids too) each get a row;
+ties do not arise; an empty table gives an empty table; columns other than id and text are left out, whatever their names;
+decoding joins the bytes of the ids, so ids that split a character decode to its raw bytes, and null ids decode to none.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts
+from tidemark.llm.common import shuffle_partitions, texts
 
 #: No match of the pattern depends on more characters after its end than this.
 LOOK_AHEAD = 3
@@ -41,67 +38,81 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-class ByteBpe:
-    """Ranks and a pre-token pattern; pieces are merged by tiktoken."""
+#: What one chunk has: the ends of its pieces in the text, how many ids each piece has, and the ids.
+Chunk = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+class ByteBpe(dict):
+    """piece -> its ids, remembered within a bound; unknown pieces are merged by tiktoken."""
+
+    ROOM = 300_000
 
     def __init__(self, rank_file: bytes, pattern: str):
         import regex
         import tiktoken
 
+        super().__init__()
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
         self.pattern = regex.compile(pattern)
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.piece_bytes = {rank: piece for piece, rank in ranks.items()}
 
-    def bounds(self, text: str, start: int, stop: int) -> list[int]:
-        """Ends of the pattern's matches from ``start``, without those so near to ``stop`` that more text could change them."""
-        ends = [m.end() for m in self.pattern.finditer(text, start, stop)]
-        while stop < len(text) and ends and ends[-1] > stop - LOOK_AHEAD:
-            ends.pop()
-        return ends
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.encoding._encode_single_piece(piece), dtype="<u4").tobytes()
+        if len(piece) <= 64:
+            if len(self) >= self.ROOM:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def whole(self, text: str) -> np.ndarray:
+        """The ids of a text, pre-tokenised from its start."""
+        return np.frombuffer(b"".join([self[m.group()] for m in self.pattern.finditer(text)]), dtype="<u4")
+
+    def chunk(self, text: str, start: int, last: bool) -> Chunk:
+        """A chunk that begins at ``start``, without pieces so near its end that more text could change them (unless it is the last)."""
+        found = [(m.end(), self[m.group()]) for m in self.pattern.finditer(text)]
+        while not last and found and found[-1][0] > len(text) - LOOK_AHEAD:
+            found.pop()
+        ends = np.array([e for e, _ in found], dtype=np.int64) + start
+        return ends, np.array([len(i) // 4 for _, i in found], dtype=np.int64), np.frombuffer(b"".join([i for _, i in found]), dtype="<u4")
+
+    def joined(self, text: str, chunk: int, overlap: int) -> Chunk:
+        """All pieces of ``text``, from chunks encoded one by one."""
+        parts = [(start, self.chunk(part, start, start + len(part) == len(text))) for start, part in cut(text, chunk, overlap)]
+        return stitch(parts, len(text)) or self.chunk(text, 0, True)
 
     def stitched(self, text: str, chunk: int, overlap: int) -> list[int]:
-        """Ends of all pre-tokens of ``text``, from chunks that are pre-tokenised one by one."""
-        n = len(text)
-        true = self.bounds(text, 0, min(n, chunk + overlap))
-        for start in range(chunk, n, chunk):
-            ends = self.bounds(text, start, min(n, start + chunk + overlap))
-            marks, k, reach = {start, *ends}, bisect_left(true, start), overlap
-            while True:
-                k = next((j for j in range(k, len(true)) if true[j] in marks), len(true))
-                if k < len(true):
-                    true = true[: k + 1] + ends[bisect_right(ends, true[k]) :]
-                    break
-                last = true[-1] if true else 0
-                if last == n:
-                    break
-                reach *= 2
-                true += self.bounds(text, last, min(n, max(last, start) + reach))
-        return true
+        return self.joined(text, chunk, overlap)[0].tolist()
 
     def encode(self, text: str, chunk: int, overlap: int) -> list[int]:
-        if len(text) <= chunk + overlap:
-            return self.encoding.encode_ordinary(text)
-        out, at = [], 0
-        for part in cuts_for_encoding(text, self.stitched(text, chunk, overlap), chunk):
-            out += self.encoding.encode_ordinary(text[at:part])
-            at = part
-        return out
+        return self.joined(text, chunk, overlap)[2].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.piece_bytes.__getitem__, ids))
 
 
-def cuts_for_encoding(text: str, ends: list[int], chunk: int) -> list[int]:
-    """Pre-token ends about ``chunk`` apart after which a text may be cut: not after white space, whose match depends on what follows it."""
-    out, last = [], 0
-    for end in ends:
-        if end - last >= chunk and not text[end - 1].isspace():
-            out.append(end)
-            last = end
-    if not out or out[-1] < len(text):
-        out.append(len(text))
-    return out
+def cut(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, str]]:
+    """(start, text) of the chunks: each reaches ``overlap`` characters into the next, the last to the end."""
+    for start in range(0, max(1, len(text) - overlap), chunk):
+        yield start, text[start : start + chunk + overlap]
+
+
+def stitch(parts: list[tuple[int, Chunk]], length: int) -> Chunk | None:
+    """One chunk from neighbours in order, cut where they first share a boundary; None where some share none."""
+    taken: list[Chunk] = []
+    ends, sizes, ids = parts[0][1]
+    for start, (next_ends, next_sizes, next_ids) in parts[1:]:
+        inside = ends[np.searchsorted(ends, start) :]
+        shared = inside[(inside == start) | np.isin(inside, next_ends)]
+        if not len(shared):
+            return None
+        k, j = np.searchsorted(ends, shared[0], side="right"), np.searchsorted(next_ends, shared[0], side="right")
+        taken.append((ends[:k], sizes[:k], ids[: sizes[:k].sum()]))
+        ends, sizes, ids = next_ends[j:], next_sizes[j:], next_ids[next_sizes[:j].sum() :]
+    taken.append((ends, sizes, ids))
+    out = tuple(map(np.concatenate, zip(*taken)))
+    return out if not length or len(out[0]) and out[0][-1] == length else None
 
 
 def byte_bpe(rank_file: bytes, pattern: str) -> ByteBpe:
@@ -111,18 +122,63 @@ def byte_bpe(rank_file: bytes, pattern: str) -> ByteBpe:
     return _open[key]
 
 
-def encode(docs: DataFrame, rank_file: bytes, pattern: str, chunk_chars: int = 16_384, overlap_chars: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array of int): the ids of each whole text, every match of ``pattern`` merged separately."""
-    shared = docs.sparkSession.sparkContext.broadcast((rank_file, pattern))
+def _encoded(docs: DataFrame, rank_file: bytes, pattern: str, chunk_chars: int, overlap_chars: int, id_col: str, text_col: str, finish: Callable[[ByteBpe, np.ndarray], tuple], columns: str) -> DataFrame:
+    """doc_id and what ``finish`` makes of each document's ids."""
+    shared, parts = docs.sparkSession.sparkContext.broadcast((rank_file, pattern)), shuffle_partitions(docs.sparkSession)
+    names, rows = [c.split()[0] for c in columns.split(", ")], texts(docs, id_col, text_col)
+    one_chunk = F.length("text") <= chunk_chars + overlap_chars
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def framed(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["doc_id", *names]).astype({"doc_id": "Int64"})
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = byte_bpe(*shared.value)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 some = batch.iloc[at : at + 256]
-                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "ids": [np.array(bpe.encode(t, chunk_chars, overlap_chars), dtype=np.int32) for t in some["text"]]})
+                yield framed([(doc, *finish(bpe, bpe.whole(text))) for doc, text in zip(some["doc_id"].astype("Int64"), some["text"])])
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, row, text in zip(batch["doc_id"].astype("Int64"), batch["row"], batch["text"]):
+                for start, part in cut(text, chunk_chars, overlap_chars):
+                    yield pd.DataFrame({"doc_id": pd.array([doc], dtype="Int64"), "row": row, "start": start, "length": len(text), "text": part})
 
-    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>")
+    def encode_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe = byte_bpe(*shared.value)
+        for batch in batches:
+            made = [bpe.chunk(text, start, start + len(text) == length) for text, start, length in zip(batch["text"], batch["start"], batch["length"])]
+            yield batch.assign(doc_id=batch["doc_id"].astype("Int64"), ends=[e.tobytes() for e, _, _ in made], sizes=[n.astype("<u4").tobytes() for _, n, _ in made], ids=[i.tobytes() for _, _, i in made])
+
+    def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bpe, held = byte_bpe(*shared.value), []
+
+        def document() -> pd.DataFrame:
+            chunks = [(start, (np.frombuffer(e, dtype=np.int64), np.frombuffer(n, dtype="<u4").astype(np.int64), np.frombuffer(i, dtype="<u4"))) for _, _, start, _, _, e, n, i in held]
+            whole = stitch(chunks, held[0][3])
+            ids = whole[2] if whole else bpe.whole("".join([text[:chunk_chars] for *_, text, _, _, _ in held[:-1]]) + held[-1][4])
+            return framed([(held[0][0], *finish(bpe, ids))])
+
+        for batch in batches:
+            for values in zip(batch["doc_id"].astype("Int64"), *(batch[c] for c in ("row", "start", "length", "text", "ends", "sizes", "ids"))):
+                if held and held[0][1] != values[1]:
+                    yield document()
+                    held.clear()
+                held.append(values)
+        if held:
+            yield document()
+
+    # rows are told apart by their place in the table, as ids may repeat
+    long = rows.withColumn("row", F.monotonically_increasing_id()).filter(~one_chunk)
+    chunk_row = "doc_id long, row long, start long, length long, text string"
+    chunks = long.mapInPandas(cut_up, chunk_row).repartition(parts, "row", "start").mapInPandas(encode_chunks, chunk_row + ", ends binary, sizes binary, ids binary")
+    joined = chunks.repartition(parts, "row").sortWithinPartitions("row", "start").mapInPandas(join_up, f"doc_id long, {columns}")
+    return rows.filter(one_chunk).mapInPandas(alone, f"doc_id long, {columns}").unionByName(joined)
+
+
+def encode(docs: DataFrame, rank_file: bytes, pattern: str, chunk_chars: int = 16_384, overlap_chars: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (array of int): the ids of each whole text, every match of ``pattern`` merged separately."""
+    return _encoded(docs, rank_file, pattern, chunk_chars, overlap_chars, id_col, text_col, lambda bpe, ids: (ids.astype(np.int32),), "ids array<int>")
 
 
 def decode(encoded: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
@@ -138,18 +194,10 @@ def decode(encoded: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, rank_file: bytes, pattern: str, chunk_chars: int = 16_384, overlap_chars: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, then decode the ids, in one pass over the rows: doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256."""
-    shared = docs.sparkSession.sparkContext.broadcast((rank_file, pattern))
+    """Encode, then decode the ids: doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = byte_bpe(*shared.value)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                ids = bpe.encode(text, chunk_chars, overlap_chars)
-                rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield out
-
-    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(bpe: ByteBpe, ids: np.ndarray) -> tuple[int, str, str]:
+        listed = ids.tolist()
+        return len(listed), hashlib.sha256(",".join(map(str, listed)).encode()).hexdigest(), hashlib.sha256(bpe.decode(listed)).hexdigest()
+
+    return _encoded(docs, rank_file, pattern, chunk_chars, overlap_chars, id_col, text_col, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
