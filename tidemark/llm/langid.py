@@ -10,7 +10,8 @@ id); the table has ``slots`` entries whatever the corpus. Prediction reads whole
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0; a text whose n-grams are all unknown gets the most
 frequent language with score 1 / languages; ties go to the more frequent, then the first by name; without training
-rows everything is ``und``; at most 64 languages (the 64 most frequent), which is an error to exceed.
+rows everything is ``und``; very long texts are read whole, a block at a time; repeated rows predict alike; an empty table gives no rows;
+other columns are ignored. Languages beyond 64 take further mask words; more than ``MOST_LANGUAGES`` distinct values are an error, as the column then is no language.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from tidemark.llm.common import crc_mod, texts
 #: Fixed odd multipliers of the slot hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _TO_BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+MOST_LANGUAGES = 4096
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -50,7 +52,7 @@ def slots_of(g: np.ndarray, bits: int) -> list[np.ndarray]:
 class LanguageFilters:
     languages: tuple[str, ...]  # most frequent first
     bits: int
-    table: np.ndarray
+    table: np.ndarray  # a row of slots for every 64 languages (one such row may stand alone)
     false_rate: np.ndarray
 
     def hits(self, text: str) -> tuple[np.ndarray, int]:
@@ -58,10 +60,11 @@ class LanguageFilters:
         sums, n = np.zeros(len(self.languages)), 0
         for g in grams(text):
             a, b, c = slots_of(g, self.bits)
-            mask = self.table[a] & self.table[b] & self.table[c]
             n += len(g)
-            for k in range(len(self.languages)):
-                sums[k] += np.count_nonzero(mask & np.uint64(1 << k))
+            for word, slots in enumerate(np.atleast_2d(self.table)):
+                mask = slots[a] & slots[b] & slots[c]
+                for k in range(64 * word, min(len(self.languages), 64 * word + 64)):
+                    sums[k] += np.count_nonzero(mask & np.uint64(1 << k % 64))
         return sums, n
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -81,19 +84,17 @@ def train(docs: DataFrame, learn: Column | None = None, fit_rows_per_language: i
     """Fill the filters from documents with a language; n-grams seen fewer than ``least`` times in a language are left out."""
     spark = docs.sparkSession
     usable = docs.filter(F.col(lang_col).isNotNull() & (F.lit(True) if learn is None else learn))
-    counts = sorted(((r["count"], r["lang"]) for r in usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(65).collect()), key=lambda x: (-x[0], x[1]))
-    if len(counts) > 64:
-        raise ValueError("more than 64 languages")
+    counts = sorted(((r["count"], r["lang"]) for r in usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()), key=lambda x: (-x[0], x[1]))
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     bits, names = slots.bit_length() - 1, [name for _, name in counts]
-    table, false_rate = np.zeros(slots, dtype=np.uint64), np.zeros(len(names))
+    table, false_rate = np.zeros((max(1, -(-len(names) // 64)), slots), dtype=np.uint64), np.zeros(len(names))
     if not names:
         return LanguageFilters((), bits, table, false_rate)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    number, share = F.lit(None), F.lit(0.0)
-    for k, (n, name) in enumerate(counts):
-        number = F.when(F.col("lang") == name, k).otherwise(number)
-        share = F.when(F.col("lang") == name, min(1.0, fit_rows_per_language / n)).otherwise(share)
-    sample = usable.select(F.col("doc_id"), F.col(lang_col).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).filter(F.coalesce(chance, F.lit(1.0)) < share).select(number.cast("int").alias("k"), "text")
+    # one row a language, MOST_LANGUAGES at most
+    wanted = F.broadcast(spark.createDataFrame([(name, k, min(1.0, fit_rows_per_language / n)) for k, (n, name) in enumerate(counts)], "lang string, k int, share double"))
+    sample = usable.select(F.col("doc_id"), F.col(lang_col).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "lang").filter(F.coalesce(chance, F.lit(1.0)) < F.col("share")).select("k", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[np.ndarray]] = {}
@@ -113,20 +114,21 @@ def train(docs: DataFrame, learn: Column | None = None, fit_rows_per_language: i
                 yield pd.DataFrame({"k": k, "gram": list(into), "n": list(into.values())})
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = np.zeros(1 << bits, dtype=np.uint64)
+        own = np.zeros(table.shape, dtype=np.uint64)
         for batch in batches:
-            masks = np.uint64(1) << batch["k"].to_numpy(dtype=np.uint64)
+            k = batch["k"].to_numpy(dtype=np.int64)
+            masks = np.uint64(1) << (k % 64).astype(np.uint64)
             for at in slots_of(batch["gram"].to_numpy(dtype=np.uint64), bits):
-                np.bitwise_or.at(own, at.astype(np.int64), masks)
-        at = np.flatnonzero(own)
+                np.bitwise_or.at(own, (k // 64, at.astype(np.int64)), masks)
+        word, at = np.nonzero(own)
         if len(at):
-            yield pd.DataFrame({"slot": at, "mask": own[at].view(np.int64)})
+            yield pd.DataFrame({"word": word, "slot": at, "mask": own[word, at].view(np.int64)})
 
     known = sample.mapInPandas(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    filled = known.select("k", "gram").mapInPandas(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-    table[filled["slot"].to_numpy(dtype=np.int64)] = filled["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+    filled = known.select("k", "gram").mapInPandas(place, "word long, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    table[filled["word"].to_numpy(dtype=np.int64), filled["slot"].to_numpy(dtype=np.int64)] = filled["mask"].to_numpy(dtype=np.int64).view(np.uint64)
     for k in range(len(names)):
-        false_rate[k] = min(0.99, np.count_nonzero(table & np.uint64(1 << k)) / slots) ** len(MULTIPLIERS)
+        false_rate[k] = min(0.99, np.count_nonzero(table[k // 64] & np.uint64(1 << k % 64)) / slots) ** len(MULTIPLIERS)
     return LanguageFilters(tuple(names), bits, table, false_rate)
 
 
