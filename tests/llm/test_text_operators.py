@@ -445,15 +445,66 @@ def test_grammar_weighs_clauses():
     assert w("she said you are an idiot.") < w("you are an idiot.")
     assert w("i will kill you") > 0 and w("i will kill time") == 0 and w("you and them") == 0
     assert w("LOWEIxyz!!!") == w("an idiot.")
-    assert [c[:2] for c in lexer.clauses("fine words here. you idiot, go on")] == [(3, 5)]
+    assert [c[:2] for c in lexer.clauses("fine words here. you idiot, go on")] == [(3, 7)]  # a comma ends no clause
+
+
+def test_clauses_end_at_sentences_and_lines():
+    g = toxicity.ToxicityGrammar(dict.fromkeys(toxicity.SEED_INSULTS.split(), 1.0), {})
+    w = g.lexer().weight
+    assert w("she said, you are an idiot.") == w('she said: "you are an idiot."') == w("she said you are an idiot.") < w("you are an idiot.")
+    assert w("first line has idiot\nyou second line") == w("first line has idiot") < w("first line has idiot you")
+    assert w('"you are wrong." an idiot') == w("an idiot")
+    assert g.score_of(w("idiot")) < 0.3 <= g.score_of(w("you are an idiot"))
+    assert all(g.score_of(w(t)) >= 0.3 for t in ("du bist ein Trottel!", "tu es un crétin", "usted es un imbécil"))
+
+
+def test_the_product_equals_its_parts():
+    rng, weights = random.Random(8), toxicity.WEIGHTS
+    for _ in range(500):
+        symbols = [(rng.randrange(7), rng.choice([0.5, 1.0, 2.0])) for _ in range(rng.randint(0, 12))]
+        states, waiting, total = [0] * len(toxicity.PARTS), None, 0.0  # waiting: an attack that has no target yet
+        for symbol, lexical in symbols:
+            marks = []
+            for k, part in enumerate(toxicity.PARTS):
+                states[k], mark = part(states[k], symbol)
+                marks.append(mark)
+            negated, reported, aimed, boosted = marks
+            scope = weights["negated"] * negated + weights["reported"] * reported
+            if symbol == toxicity.INSULT:
+                total += max(0.05, weights["insult"] + weights["target"] * aimed + weights["boost"] * boosted + scope) * lexical
+                waiting = "done" if aimed else "target"
+            elif symbol == toxicity.THREAT and waiting is None:
+                waiting = scope
+            elif symbol == toxicity.TARGET and waiting == "target":
+                total, waiting = total + weights["target"], "done"
+            elif symbol == toxicity.TARGET and isinstance(waiting, float):
+                total, waiting = total + max(0.05, weights["threat"] + waiting), "done"
+        assert toxicity.Automaton().weigh(symbols) == pytest.approx(total)
 
 
 def test_toxicity(spark):
-    sf = "/root/testdata/sf0.01"
-    out = queries.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
-    assert auc([r.toxic for r in out], [r.score for r in out]) > 0.75
-    clean = [r for r in out if not r.toxic]
-    assert sum(r.predicted for r in clean) <= 0.03 * len(clean)
+    sf = "/root/testdata/sf0.1"
+    out = queries.op6_toxicity(spark, sf)
+    assert dict(out.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    rows = out.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    caught, flagged, toxic = sum(r.predicted and r.toxic for r in rows), sum(r.predicted for r in rows), sum(r.toxic for r in rows)
+    print("toxicity held out:", toxic, "toxic,", len(rows) - toxic, "clean;", caught, "caught,", flagged - caught, "clean ones flagged")
+    assert auc([r.toxic for r in rows], [r.score for r in rows]) > 0.95
+    assert caught >= 0.9 * toxic and flagged - caught <= 0.02 * (len(rows) - toxic)
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = random.Random(1)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(70):  # each language has syllables of its own
+        syllables = ["".join(rng.choices(alphabet, k=4)) for _ in range(12)]
+        rows += [(k * 20 + d, " ".join("".join(rng.choices(syllables, k=2)) for _ in range(40)), f"l{k:02d}") for d in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.train(docs, learn=langid.learn_fold(4, 2))
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, filters).collect()}
+    assert filters.table.shape[0] == 2 and sum(got[d] == name for d, _, name in rows) > 0.98 * len(rows)
 
 
 def test_language(spark, edge):
