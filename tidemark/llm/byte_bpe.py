@@ -56,6 +56,8 @@ class ByteBpe(dict):
         self.pattern = regex.compile(pattern)
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.piece_bytes = {rank: piece for piece, rank in ranks.items()}
+        #: how ids travel between tasks
+        self.narrow = np.dtype("<u2" if max(self.piece_bytes, default=0) < 1 << 16 else "<u4")
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.encoding._encode_single_piece(piece), dtype="<u4").tobytes()
@@ -148,19 +150,21 @@ def _encoded(docs: DataFrame, rank_file: bytes, pattern: str, chunk_chars: int,
         bpe = byte_bpe(*shared.value)
         for batch in batches:
             made = [bpe.chunk(text, start, start + len(text) == length) for text, start, length in zip(batch["text"], batch["start"], batch["length"])]
-            yield batch.assign(doc_id=batch["doc_id"].astype("Int64"), ends=[e.tobytes() for e, _, _ in made], sizes=[n.astype("<u4").tobytes() for _, n, _ in made], ids=[i.tobytes() for _, _, i in made])
+            lengths = [np.diff(ends, prepend=start).astype("<u4").tobytes() for (ends, _, _), start in zip(made, batch["start"])]
+            yield batch.assign(doc_id=batch["doc_id"].astype("Int64"), lengths=lengths, sizes=[n.astype("<u4").tobytes() for _, n, _ in made], ids=[i.astype(bpe.narrow).tobytes() for _, _, i in made])
 
     def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe, held = byte_bpe(*shared.value), []
 
         def document() -> pd.DataFrame:
-            chunks = [(start, (np.frombuffer(e, dtype=np.int64), np.frombuffer(n, dtype="<u4").astype(np.int64), np.frombuffer(i, dtype="<u4"))) for _, _, start, _, _, e, n, i in held]
+            wide = lambda raw: np.frombuffer(raw, dtype="<u4").astype(np.int64)
+            chunks = [(start, (start + np.cumsum(wide(e)), wide(n), np.frombuffer(i, dtype=bpe.narrow).astype("<u4"))) for _, _, start, _, _, e, n, i in held]
             whole = stitch(chunks, held[0][3])
             ids = whole[2] if whole else bpe.whole("".join([text[:chunk_chars] for *_, text, _, _, _ in held[:-1]]) + held[-1][4])
             return framed([(held[0][0], *finish(bpe, ids))])
 
         for batch in batches:
-            for values in zip(batch["doc_id"].astype("Int64"), *(batch[c] for c in ("row", "start", "length", "text", "ends", "sizes", "ids"))):
+            for values in zip(batch["doc_id"].astype("Int64"), *(batch[c] for c in ("row", "start", "length", "text", "lengths", "sizes", "ids"))):
                 if held and held[0][1] != values[1]:
                     yield document()
                     held.clear()
@@ -171,7 +175,7 @@ def _encoded(docs: DataFrame, rank_file: bytes, pattern: str, chunk_chars: int,
     # rows are told apart by their place in the table, as ids may repeat
     long = rows.withColumn("row", F.monotonically_increasing_id()).filter(~one_chunk)
     chunk_row = "doc_id long, row long, start long, length long, text string"
-    chunks = long.mapInPandas(cut_up, chunk_row).repartition(parts, "row", "start").mapInPandas(encode_chunks, chunk_row + ", ends binary, sizes binary, ids binary")
+    chunks = long.mapInPandas(cut_up, chunk_row).repartition(parts, "row", "start").mapInPandas(encode_chunks, chunk_row + ", lengths binary, sizes binary, ids binary")
     joined = chunks.repartition(parts, "row").sortWithinPartitions("row", "start").mapInPandas(join_up, f"doc_id long, {columns}")
     return rows.filter(one_chunk).mapInPandas(alone, f"doc_id long, {columns}").unionByName(joined)
 
