@@ -120,7 +120,8 @@ def write_token_codes(docs: DataFrame, path: str, vocabulary: str, end_id: int |
     spark = docs.sparkSession
     cuts = _cuts(docs.select(F.col(id_col).cast("long").alias("doc_id")), max(shuffle_partitions(spark), -(-docs.count() // docs_per_part)))
     placed = tokenised(texts(docs, id_col, text_col), vocabulary, end_id, cuts)
-    placed = placed.repartition(max(len(cuts) + 1, shuffle_partitions(spark)), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    # every part is a partition of its own, so no task holds more than one
+    placed = placed.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     # payloads are long rows: look at the page size after every few of them, so that a writer holds little
     writer = placed.mapInPandas(_segments(chunk_bits, segment_tokens), SEGMENTS).write
     writer.options(**{"parquet.page.size.row.check.min": "4", "parquet.block.size": str(16 << 20)}).parquet(f"{path}/segments")
