@@ -72,5 +72,25 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", bound)
 
 
+def hot_keys(counted: DataFrame, key: str, n: str, most: int = 1024) -> DataFrame:
+    """The keys of ``counted`` (one row a key, its rows in ``n``) that hold at least one row in ``most`` of all: at most ``most`` keys, whatever the size of the data."""
+    # a join on the key will ask for keys that are not null; asked here as well, both branches share one exchange
+    total = counted.filter(F.col(key).isNotNull()).agg(F.sum(n).alias("t_total"))
+    return counted.crossJoin(F.broadcast(total)).filter(F.col(n) * most >= F.col("t_total")).select(key)
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, hot: DataFrame, spread_by: list[str], salts: int = 256) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` on ``key``; rows of a ``hot`` key (see ``hot_keys``) are dealt to ``salts`` tasks by a hash of ``spread_by``.
+
+    Only the hot keys are broadcast, and only their rows of ``keyed`` are copied.
+    """
+    marked = F.broadcast(hot.withColumn("t_hot", F.lit(True)))
+    salt = F.when(F.col("t_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(F.col("t_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(marked, key, "left").withColumn("t_salt", salt).drop("t_hot")
+    right = keyed.join(marked, key, "left").withColumn("t_salt", F.explode(copies)).drop("t_hot")
+    return left.join(right, [key, "t_salt"]).drop("t_salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

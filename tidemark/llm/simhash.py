@@ -11,7 +11,8 @@ only those not already in their parent, and a search prunes a whole group once
 the differences on the way down exceed the limit.
 
 The search is exact: every pair within the limit lies in some visited leaf. Copies
-collapse to one fingerprint before anything is shuffled by it.
+collapse to one fingerprint before anything is shuffled by it; where rows meet their group again, those of a
+fingerprint that holds a large share of all rows are dealt to many tasks.
 
 Defined cases: null text is empty; a text without words has fingerprint zero and
 links like any other; fewer words than a shingle form one shingle; repeated rows
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import resemblance
-from tidemark.llm.common import materialise, shuffle_partitions, texts
+from tidemark.llm.common import hot_keys, join_spread, materialise, shuffle_partitions, texts
 from tidemark.llm.components import connected_components
 
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -267,14 +268,15 @@ def links(fps: DataFrame, limit: int = 2, leaf_rows: int = 1024, most_leaves: in
 
 
 def _rooted(docs: DataFrame, limit: int, shingle: int, seed: int, id_col: str, text_col: str, jaccard: float | None) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows; and fp, least (doc_id), root (a fingerprint that names the group) of the distinct ones."""
+    """The fingerprints of all rows; and fp, least (doc_id), n (rows), root (a fingerprint that names the group) of the distinct ones."""
     marked = materialise(fingerprints(docs, shingle, seed, id_col, text_col, jaccard is not None), "fingerprints")
-    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     edges = links(distinct, limit)
     if jaccard is not None:
         edges = edges.unionByName(resemblance.resembling(texts(docs, id_col, text_col), marked, jaccard))
     groups = connected_components(edges, "simhash")
-    return marked, distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
+    return marked, materialise(rooted, "rooted")
 
 
 def near_duplicates(docs: DataFrame, limit: int = 2, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = None) -> DataFrame:
@@ -283,9 +285,10 @@ def near_duplicates(docs: DataFrame, limit: int = 2, shingle: int = 3, seed: int
     With ``jaccard`` texts that resemble each other so much in their five-word shingles are linked besides.
     """
     marked, rooted = _rooted(docs, limit, shingle, seed, id_col, text_col, jaccard)
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_fps"))
+    by_fp = join_spread(rooted.select("fp", "root"), named.drop("n_fps"), "root", hot_keys(named, "root", "n_fps"), ["fp"]).select("fp", "component_id")
+    rows = join_spread(marked.select("doc_id", "fp", "t"), by_fp, "fp", hot_keys(rooted, "fp", "n"), ["doc_id", "t"])
+    return rows.select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, limit: int = 2, shingle: int = 3, seed: int = 42, jaccard: float | None = None) -> DataFrame:
@@ -294,7 +297,7 @@ def keep_one(docs: DataFrame, limit: int = 2, shingle: int = 3, seed: int = 42,
     Rows are told apart by id and text: one id may stand on several texts. Of rows alike in both one stays.
     """
     marked, rooted = _rooted(docs, limit, shingle, seed, "doc_id", "text", jaccard)
-    rows = marked.join(rooted.select("fp", "root"), "fp")
+    rows = join_spread(marked.select("doc_id", "fp", "t"), rooted.select("fp", "root"), "fp", hot_keys(rooted, "fp", "n"), ["doc_id", "t"])
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("best")).select(F.col("best.doc_id").alias("_kept_id"), F.col("best.t").alias("_kept_text"))
     place = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
     hashed = docs.withColumn("_kept_text", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_null_id", F.col("doc_id").isNull()).withColumn("_kept_id", place("doc_id"))
