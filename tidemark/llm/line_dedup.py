@@ -11,7 +11,8 @@ Boundaries drawn by a rolling hash alone (every so many lines on average) would
 passage that holds no whole chunk; here they are drawn by the rolling hash and its recurrence.
 
 What is counted over the corpus are hashes, summed before they are shuffled. Texts move once: the
-comparison and the removal read the same exchange. A hot window meets one row on the other side of its join, which Spark's skew join may split.
+comparison and the removal read the same exchange. A window that holds a large share of all
+rows is dealt to many tasks where it meets its first occurrence.
 
 Defined cases: null texts stay null; empty texts stay empty; a text whose lines are all removed becomes empty; rows alike in id and text are one
 document and treated alike; null ids come first; ties do not arise (id, text hash and position order all occurrences); lines of blanks are skipped when
@@ -24,7 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import hot_keys, join_spread
+
 _HASH = 16  # bytes of a line's hash
+_SALTS = 64
 
 
 def _barrier(df: DataFrame, **columns: Column) -> DataFrame:
@@ -66,10 +70,12 @@ def remove_repeated_chunks(docs: DataFrame, long_line: int = 120, id_col: str =
     where = F.struct("t_id", "t_th", "t_k")
 
     seen = _windows(plain, long_line)
-    repeated = seen.groupBy("t_h").agg(F.min(where).alias("t_first"), F.max(where).alias("t_last")).filter("t_first < t_last").drop("t_last")
+    # the number of rows is read in every branch, so that all of them share one aggregation
+    found = seen.groupBy("t_h").agg(F.min(where).alias("t_first"), F.max(where).alias("t_last"), F.count("*").alias("t_rows"))
+    repeated = found.filter("t_rows > 1 AND t_first < t_last")
     apart = (F.col("t_id") != F.col("t_first.t_id")) | (F.col("t_th") != F.col("t_first.t_th")) | (F.col("t_k") - F.col("t_first.t_k") >= F.col("t_n"))
     lines = F.transform(F.sequence(F.lit(0), F.col("t_n") - 1), lambda i: F.struct((F.col("t_k") + i).alias("k"), F.substring("t_h", i * _HASH + 1, F.lit(_HASH)).alias("line_h")))
-    marks = seen.join(repeated, "t_h").select("t_id", "t_th", apart.alias("later"), F.inline(lines))
+    marks = join_spread(seen, repeated.drop("t_last", "t_rows"), "t_h", hot_keys(repeated, "t_h", "t_rows"), ["t_id", "t_th", "t_k"]).select("t_id", "t_th", apart.alias("later"), F.inline(lines))
 
     # the other columns travel under names of our own
     own = {c: f"t_column_{k}" for k, c in enumerate(docs.columns) if c != text_col}
@@ -79,7 +85,10 @@ def remove_repeated_chunks(docs: DataFrame, long_line: int = 120, id_col: str =
     asked = marks.groupBy("t_id", "t_th").agg(F.collect_set("k").alias("t_asked"))
     held = _lined(_unpruned(packed.join(asked, ["t_id", "t_th"]))).select(F.explode(F.transform("t_asked", lambda k: F.get("t_lines", F.get("t_at", k)))).alias("line"))
     unequal = held.groupBy(F.unhex(F.md5("line")).alias("line_h")).agg(F.min("line").alias("least"), F.max("line").alias("most")).filter("least < most").select("line_h")
-    removals = marks.filter("later").join(unequal, "line_h", "left_anti").groupBy("t_id", "t_th").agg(F.collect_set("k").alias("t_removed"))
+    # a frequent line meets them in many tasks; there are as good as none
+    spread = marks.filter("later").withColumn("t_salt", F.pmod(F.xxhash64("t_id", "t_th", "k"), F.lit(_SALTS)).cast("int"))
+    unequal = unequal.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    removals = spread.join(unequal, ["line_h", "t_salt"], "left_anti").groupBy("t_id", "t_th").agg(F.collect_set("k").alias("t_removed"))
 
     joined = _lined(packed.join(removals, ["t_id", "t_th"], "left"))
     end = lambda k: F.coalesce(F.get("t_at", k + 1), F.size("t_lines")) - 1
