@@ -54,20 +54,19 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many shingles each of ``left`` shares with each of ``right``, by products of 0/1 matrices a few columns at a time."""
-    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (left, right)]
-    (x, i), (y, j) = sides
-    columns = np.intersect1d(x, y)
+    (x, i), (y, j) = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (left, right)]
+    columns = np.unique(x) if left is right else np.intersect1d(x, y)
     out = np.zeros((len(left), len(right)), dtype=np.float32)
     for at in range(0, len(columns), _COLUMNS):
         some = columns[at : at + _COLUMNS]
         dense = []
-        for values, owners, n in ((x, i, len(left)), (y, j, len(right))):
+        for values, owners, n in ((x, i, len(left)), (y, j, len(right)))[: 1 if left is right else 2]:
             place = np.minimum(np.searchsorted(some, values), len(some) - 1)
             here = some[place] == values
             matrix = np.zeros((n, len(some)), dtype=np.float32)
             matrix[owners[here], place[here]] = 1
             dense.append(matrix)
-        out += dense[0] @ dense[1].T
+        out += dense[0] @ dense[-1].T
     return out
 
 
@@ -76,21 +75,19 @@ def joining_pairs(left: list[np.ndarray], right: list[np.ndarray], names: tuple[
     both = shared_counts(left, right)
     total = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
     alike = both >= jaccard * (total - both) - 1e-6
-    i, j = np.nonzero(alike & (groups[0][:, None] != groups[1][None, :]))
-    up: dict[int, int] = {}
-
-    def root(v: int) -> int:
-        while (p := up.setdefault(v, v)) != v:
-            up[v] = up[p]
-            v = up[v]
-        return v
-
+    del both, total
+    # one label a group; a row of the matrix at a time, so that what is held does not grow with the number of pairs
+    labels, place = np.unique(np.concatenate(groups), return_inverse=True)
+    label, own, other = np.arange(len(labels)), place[: len(left)], place[len(left) :]
     out = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        x, y = root(int(groups[0][a])), root(int(groups[1][b]))
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((int(names[0][a]), int(names[1][b])))
+    for a in range(len(left)):
+        near = np.flatnonzero(alike[a])
+        mine = label[own[a]]
+        apart, first = np.unique(label[other[near]], return_index=True)
+        for there, b in zip(apart.tolist(), near[first].tolist()):
+            if there != mine:
+                label[label == there] = mine
+                out.append((int(names[0][a]), int(names[1][b])))
     return out
 
 
