@@ -57,3 +57,42 @@ def test_components_equal_all_pairs(spark, block):
     assert len(set(zip(mine, want))) == len(set(mine)) == len(set(want))
     assert 24 < len(set(want)) < 110
     assert resemblance.resembling(df.limit(0), marked.limit(0), 0.8).count() == 0
+
+
+def _joined(edges, nodes):
+    up = {v: v for v in nodes}
+
+    def root(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return {v: root(v) for v in nodes}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_joining_pairs_join_what_all_pairs_join_and_repeat_nothing(seed):
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 1 << 63, 40, dtype=np.uint64) for _ in range(6)]
+    sets = [np.unique(np.concatenate([base[k % 6][: 40 - k % 5], rng.integers(0, 1 << 63, k % 4, dtype=np.uint64)])) for k in range(60)]
+    names = rng.permutation(1000)[:60].astype(np.int64)
+    earlier = {int(n): int(names[k - k % 3]) for k, n in enumerate(names)}  # groups that an earlier pass has joined
+    for cut in (None, 25):
+        left, right = (sets, sets) if cut is None else (sets[:cut], sets[cut:])
+        sides = (names, names) if cut is None else (names[:cut], names[cut:])
+        groups = tuple(np.array([earlier[int(n)] if cut else int(n) for n in side]) for side in sides)
+        start = [] if cut is None else list(earlier.items())
+        alike = [
+            (int(n), int(m))
+            for n, a in zip(sides[0], left)
+            for m, b in zip(sides[1], right)
+            if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+        ]
+        got = resemblance.joining_pairs(left, right, sides, groups, 0.8)
+        assert set(got) <= set(alike)
+        nodes = [int(n) for n in names]
+        assert _joined(start + got, nodes) == _joined(start + alike, nodes)
+        assert len(got) == len(set(_joined(start, nodes).values())) - len(set(_joined(start + alike, nodes).values()))
