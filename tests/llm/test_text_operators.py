@@ -225,6 +225,38 @@ def test_document_frequencies(spark, edge, vocabulary, encode):
     assert packing.document_frequencies(tokens) == dict(want)
 
 
+@pytest.mark.parametrize("dtype", ["<u2", "<u4"])
+def test_terms_of_many_documents_are_those_of_each(dtype):
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 40_000, n).astype(dtype) % (7 + n) for n in (0, 1, 300, 0, 5000, 2, 0)]
+    owner, term, counts = packing.all_term_counts(docs)
+    for number, ids in enumerate(docs):
+        seen, n = packing.term_counts(ids)
+        assert term[owner == number].tolist() == seen.tolist() and counts[owner == number].tolist() == n.tolist()
+    assert [len(x) for x in packing.all_term_counts([docs[0]])] == [0, 0, 0] == [len(x) for x in packing.all_term_counts([])]
+
+
+def test_frequencies_are_noted_while_documents_are_placed(spark, edge, vocabulary):
+    from tidemark.llm.common import materialise, texts
+
+    tree = packing.PlaceTree(np.ones(300), 20.0)
+    for docs in (edge, edge.repartition(7), edge.limit(0)):
+        placed = materialise(packing.placed_tokens(texts(docs), vocabulary, 1, tree), "placed")
+        assert packing.noted_frequencies(placed) == packing.document_frequencies(placed)
+        ids = [np.frombuffer(bytes(r.ids), dtype=f"<u{r.width}") for r in placed.select("ids", "width").collect()]
+        if ids:
+            assert np.array_equal(tree.sketches(ids, *packing.all_term_counts(ids)), np.stack([tree.sketch(x) for x in ids]))
+
+
+def test_a_word_is_remembered_once_whatever_mark_follows(vocabulary, encode):
+    words = word_tokens.WordTokens(vocabulary)
+    for text in ("Anderblein, anderblein. anderblein", "straße,\nstraße. 3.14,15", "œil, a.b"):
+        assert np.frombuffer(words.ids(text), dtype=words.dtype).tolist() + [1] == encode(text)
+    assert "anderblein" in words and "straße" in words and not any(len(w) > 1 and ("," in w or "." in w) for w in words)
+    for text in ("so...", "'yes,' a_,b ,_ x.%%% ½, (a.) .'s", "x,,y\u0301, z.", "\x1c, ¿a,b?.", "İ, Ȁ, x."):  # marks in a row are one
+        assert np.frombuffer(words.ids(text), dtype=words.dtype).tolist() + [1] == encode(text)
+
+
 # ---- 9: SimHash ----
 
 

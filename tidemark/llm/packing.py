@@ -44,6 +44,21 @@ def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[at], np.diff(np.append(at, len(ids)))
 
 
+def all_term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``term_counts`` of many documents by one sort: document, distinct id (ascending within the document) and how often it occurs there."""
+    lengths = np.array([len(ids) for ids in docs], dtype=np.int64)
+    if not lengths.sum():
+        return (np.zeros(0, dtype=np.int64),) * 3
+    ids = np.concatenate(docs)
+    word, shift = (np.uint32, 16) if ids.itemsize == 2 and len(docs) <= 1 << 16 else (np.uint64, 32)
+    keys = np.repeat(np.arange(len(docs), dtype=word) << word(shift), lengths)
+    keys |= ids
+    keys.sort()
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    first = keys[at]
+    return (first >> word(shift)).astype(np.int64), (first & word((1 << shift) - 1)).astype(np.int64), np.diff(at, append=len(keys))
+
+
 def document_frequencies(tokens: DataFrame) -> dict[int, int]:
     """In how many documents each token id occurs. As many entries as the vocabulary has ids at most."""
 
@@ -59,7 +74,33 @@ def document_frequencies(tokens: DataFrame) -> dict[int, int]:
         if len(terms):
             yield pd.DataFrame({"term": terms, "n": total[terms]})
 
-    partial = tokens.select("ids", "width").mapInPandas(count, "term long, n long")
+    return _collected(tokens.select("ids", "width").mapInPandas(count, "term long, n long"))
+
+
+def noted_frequencies(tokens: DataFrame) -> dict[int, int]:
+    """``document_frequencies`` from the counts that ``placed_tokens`` has noted in ``seen``, without the ids."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for raw in batch["seen"]:
+                total = _added(total, np.frombuffer(raw, dtype="<u4"))
+        terms = np.flatnonzero(total)
+        if len(terms):
+            yield pd.DataFrame({"term": terms, "n": total[terms]})
+
+    return _collected(tokens.filter(F.col("seen").isNotNull()).select("seen").mapInPandas(add, "term long, n long"))
+
+
+def _added(total: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The sum of two arrays of counts by id, the shorter one taken to end in zeros."""
+    if len(more) > len(total):
+        total = np.concatenate([total, np.zeros(len(more) - len(total), dtype=np.int64)])
+    total[: len(more)] += more
+    return total
+
+
+def _collected(partial: DataFrame) -> dict[int, int]:
     return {row.term: row.n for row in partial.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -67,33 +108,31 @@ class ShardIndex:
     """BM25 postings of one shard, impact stored per posting; documents that are used leave it."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int | None = None, k1: float = 1.2, b: float = 0.75):
-        terms, owners, impacts = [], [], []
-        for number, ids in enumerate(docs):
-            seen, counts = term_counts(ids)
-            tf = counts * (k1 + 1) / (counts + k1 * (1 - b + b * len(ids) / mean_length))
-            terms.append(seen)
-            owners.append(np.full(len(seen), number, dtype=np.int64))
-            impacts.append(idf[seen] * tf)
-        self.doc_terms = terms
-        self.doc_impacts = impacts
+        owner, term, counts = all_term_counts(docs)
+        lengths = np.array([len(ids) for ids in docs], dtype=np.int64)
+        tf = counts * (k1 + 1) / (counts + (k1 * (1 - b + b * lengths / mean_length))[owner])
+        impact = idf[term] * tf
+        self.doc_at = np.searchsorted(owner, np.arange(len(docs) + 1)).tolist()
         self.query_terms, self.unused = query_terms, np.ones(len(docs), dtype=bool)
-        term, owner, impact = np.concatenate(terms), np.concatenate(owners), np.concatenate(impacts)
-        order = np.argsort(term, kind="stable")
+        #: the ids that occur; inside the index a term is its place among them
+        self.terms = np.flatnonzero(np.bincount(term))
+        local = np.zeros(len(idf), dtype=np.int64)
+        local[self.terms] = np.arange(len(self.terms))
+        term = local[term]
+        self.doc_terms, self.doc_impacts = term, impact
+        order = np.argsort(term.astype(np.uint16) if len(self.terms) <= 1 << 16 else term, kind="stable")
         self._post(term[order], owner[order], impact[order], np.arange(len(docs)))
 
     def _post(self, term: np.ndarray, owner: np.ndarray, impact: np.ndarray, rows: np.ndarray) -> None:
         """Postings of the documents ``rows`` (sorted by term): lists of rare terms, a row over all documents for each frequent one."""
         self.rows, self.postings = rows, (term, owner, impact)
-        at = np.flatnonzero(np.diff(term, prepend=-1))
-        ends = np.append(at[1:], len(term))
-        self.lists, self.frequent, dense = {}, {}, []
-        for t, a, b in zip(term[at].tolist(), at.tolist(), ends.tolist()):
-            if (b - a) * 6 < len(rows):
-                self.lists[t] = (owner[a:b], impact[a:b])
-            else:
-                self.frequent[t] = len(dense)
-                dense.append(np.bincount(owner[a:b], weights=impact[a:b], minlength=len(rows)))
-        self.dense = np.stack(dense) if dense else np.zeros((0, len(rows)))
+        n = np.bincount(term, minlength=len(self.terms))
+        self.starts = np.cumsum(n) - n
+        frequent = (n * 6 >= len(rows)) & (n > 0)
+        self.listed, self.frequent = np.where(frequent, 0, n), np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.dense = np.zeros((int(frequent.sum()), len(rows)))
+        for row, a, b in zip(self.dense, self.starts[frequent].tolist(), (self.starts + n)[frequent].tolist()):
+            row[owner[a:b]] = impact[a:b]
         # what frequent terms give each whole document as a query: one product for all
         self.shared = (self.dense != 0).astype(np.float64).T @ self.dense if self.query_terms is None else None
         self.place = {k: at for at, k in enumerate(rows.tolist())}
@@ -106,27 +145,32 @@ class ShardIndex:
         keep = stays[owner]
         self._post(term[keep], place[owner[keep]], impact[keep], self.rows[stays])
 
-    def query(self, number: int) -> np.ndarray:
-        """The query of a seed: all of its terms, or its ``query_terms`` terms of largest impact."""
-        terms, impacts = self.doc_terms[number], self.doc_impacts[number]
+    def _query(self, number: int) -> np.ndarray:
+        first, end = self.doc_at[number : number + 2]
+        terms, impacts = self.doc_terms[first:end], self.doc_impacts[first:end]
         if self.query_terms is not None and len(terms) > self.query_terms:
             terms = terms[np.argpartition(-impacts, self.query_terms)[: self.query_terms]]
         return terms
 
+    def query(self, number: int) -> np.ndarray:
+        """The query of a seed: all of its terms, or its ``query_terms`` terms of largest impact."""
+        return self.terms[self._query(number)]
+
     def scores(self, number: int) -> np.ndarray:
         """The BM25 score of each of ``self.rows`` for the query of ``number``."""
-        terms, place = self.query(number).tolist(), self.place.get(number)
+        terms, place = self._query(number), self.place.get(number)
         if self.shared is not None and place is not None:
             scores = self.shared[place].copy()
         else:
-            scores = self.dense[[self.frequent[t] for t in terms if t in self.frequent]].sum(0)
-        owners, impacts = [], []
-        for t in terms:
-            if (posting := self.lists.get(t)) is not None:
-                owners.append(posting[0])
-                impacts.append(posting[1])
-        if owners:
-            scores += np.bincount(np.concatenate(owners), weights=np.concatenate(impacts), minlength=len(scores))
+            frequent = self.frequent[terms]
+            scores = self.dense[frequent[frequent >= 0]].sum(0)
+        n = self.listed[terms]
+        ends = np.cumsum(n)
+        if len(ends) and ends[-1]:
+            at = np.repeat(self.starts[terms] - ends + n, n)
+            at += np.arange(len(at))
+            _, owner, impact = self.postings
+            scores += np.bincount(owner[at], weights=impact[at], minlength=len(scores))
         return scores
 
     def neighbours(self, number: int, first: int = 32) -> Iterator[int]:
@@ -198,16 +242,23 @@ class PlaceTree:
     def __getstate__(self):
         return self.__dict__ | {"_signs": None}
 
-    def sketch(self, ids: np.ndarray, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+    def sketch(self, ids: np.ndarray) -> np.ndarray:
+        return self.sketches([ids], *all_term_counts([ids]))[0]
+
+    def sketches(self, docs: list[np.ndarray], owner: np.ndarray, term: np.ndarray, counts: np.ndarray, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+        """The sketch of each of ``docs``, given their ``all_term_counts``."""
         if self._signs is None:
             self._signs = np.random.default_rng(self.seed).choice(np.array([-1, 1], dtype=np.float32), (len(self.idf), self.dimensions))
-        seen, counts = term_counts(ids)
-        if len(seen) and seen[-1] >= len(self.idf):  # ids that the sample does not have
-            known = int(np.searchsorted(seen, len(self.idf)))
-            seen, counts = seen[:known], counts[:known]
-        weights = self.idf[seen] * counts * (k1 + 1) / (counts + k1 * (1 - b + b * len(ids) / self.mean_length))
-        sum_ = weights.astype(np.float32) @ self._signs[seen]
-        return sum_ / max(1e-9, float(np.linalg.norm(sum_)))
+        known = term < len(self.idf)  # not the ids that the sample does not have
+        owner, term, counts = owner[known], term[known], counts[known]
+        lengths = np.array([len(ids) for ids in docs], dtype=np.int64)
+        weights = (self.idf[term] * counts * (k1 + 1) / (counts + (k1 * (1 - b + b * lengths / self.mean_length))[owner])).astype(np.float32)
+        out = np.zeros((len(docs), self.dimensions), dtype=np.float32)
+        ends = np.searchsorted(owner, np.arange(len(docs) + 1)).tolist()
+        for number, (first, end) in enumerate(zip(ends, ends[1:])):
+            sum_ = weights[first:end] @ self._signs.take(term[first:end], axis=0)
+            out[number] = sum_ / max(1e-9, float(np.sqrt(sum_ @ sum_)))
+        return out
 
     def fit(self, sketches: np.ndarray, depth: int) -> None:
         """Halve the sample ``depth`` times: each half of a node along the line between the means of two groups in it."""
@@ -274,19 +325,29 @@ def fit_places(docs: DataFrame, vocabulary: str, end_id: int, shard_docs: int, f
 
 
 def placed_tokens(docs: DataFrame, vocabulary: str, end_id: int, tree: PlaceTree) -> DataFrame:
-    """doc_id, ids, width and place of every document."""
+    """doc_id, ids, width and place of every document; the last row of a task notes in ``seen`` in how many of its documents each id occurs (unsigned 32-bit, by id)."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, tree))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, tree = shared.value
         words = word_tokens(vocabulary)
         end = np.array([end_id], dtype=words.dtype).tobytes()
+        held, seen = None, np.zeros(0, dtype=np.int64)
         for batch in batches:
-            ids = [words.ids(text) + end for text in batch["text"]]
-            sketches = np.stack([tree.sketch(np.frombuffer(raw, dtype=words.dtype)) for raw in ids]) if ids else np.zeros((0, tree.dimensions), dtype=np.float32)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids, "width": np.int32(words.dtype.itemsize), "place": tree.places(sketches)})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, width int, place long")
+            if not len(batch):
+                continue
+            if held is not None:
+                yield held
+            raw = [words.ids(text) + end for text in batch["text"]]
+            ids = [np.frombuffer(r, dtype=words.dtype) for r in raw]
+            counted = all_term_counts(ids)
+            seen = _added(seen, np.bincount(counted[1]))
+            held = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": raw, "width": np.int32(words.dtype.itemsize), "place": tree.places(tree.sketches(ids, *counted)), "seen": None})
+        if held is not None:
+            held["seen"] = [None] * (len(held) - 1) + [seen.astype("<u4").tobytes()]
+            yield held
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, width int, place long, seen binary")
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, query_terms: int | None = None, shard_tokens: int = 1 << 22, shard_docs: int = 2048, fit_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -299,7 +360,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, window: int = 2048, quer
     tree = fit_places(rows, vocabulary, end_id, shard_docs, fit_docs)
     tokens = materialise(placed_tokens(rows, vocabulary, end_id, tree), "tokens")
     n_docs, mean_length = _totals(tokens)
-    idf = tokens.sparkSession.sparkContext.broadcast(_weights(document_frequencies(tokens), n_docs))
+    idf = tokens.sparkSession.sparkContext.broadcast(_weights(noted_frequencies(tokens), n_docs))
 
     def shard(rows: list, first: int) -> tuple[pd.DataFrame, int]:
         docs = [np.frombuffer(raw, dtype=f"<u{width}") for _, raw, width in rows]

@@ -3,7 +3,8 @@
 The vocabularies served here drop white space and never merge across it, so the
 ids of a text are the ids of its white-space separated words in order. Each
 Python worker keeps the ids of the words it has met, up to a bound; words of
-letters alone go straight to the library's merges. Texts that hold the string of a special token go to the library whole,
+letters alone go straight to the library's merges. Commas and full stops that touch no other mark are words of their
+own, so that a word is remembered once and not again with each of them. Texts that hold the string of a special token go to the library whole,
 which makes it that token's id, as it does by itself.
 
 Defined cases: null texts are empty and give ``end_id`` alone; very long texts are encoded whole; repeated rows give the same ids; an
@@ -12,8 +13,10 @@ empty table gives no rows; columns other than doc_id and text are left out.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -36,7 +39,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in stays} | {b: chr(256 + k) for k, b in enumerate(moved)}
 
 
-_LETTERS = _byte_letters()
+_LETTERS = "".join(_byte_letters()[b] for b in range(256))
+
+
+def _kind(letter: str) -> str:
+    """``!`` unusual, ``.`` comma or full stop, ``a`` letter, digit or blank, ``#`` any other mark (and ``?``, which stands for letters beyond Latin-1)."""
+    if _UNUSUAL.match(letter):
+        return "!"
+    if letter in ",.":
+        return "."
+    return "a" if letter.isspace() or unicodedata.category(letter)[0] in "LN" else "#"
+
+
+_KINDS = "".join(_kind(chr(b)) for b in range(256)).encode()
+#: Under this pattern of pre-tokens, marks in a row are one, and marks beside letters, digits or blanks are apart from them.
+_MARKS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _open: dict[int, "WordTokens"] = {}
 
 
@@ -55,6 +72,7 @@ class WordTokens(dict):
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.by_word = self._words_stand_alone(vocabulary)
         self.short_way = self.by_word and all(self._merge(w) == self._encode(w) for w in _PROBES)
+        self.marks_apart = self.short_way and json.loads(vocabulary)["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == _MARKS_APART
 
     @staticmethod
     def _words_stand_alone(vocabulary: str) -> bool:
@@ -70,7 +88,7 @@ class WordTokens(dict):
 
     def _merge(self, word: str) -> bytes:
         """The ids of one word of lower-case letters, without normaliser and pre-tokeniser."""
-        letters = word if word.isascii() else "".join(map(_LETTERS.__getitem__, word.encode()))
+        letters = word if word.isascii() else codecs.charmap_decode(word.encode(), "strict", _LETTERS)[0]
         return array(self.code, [t.id for t in self.merges.tokenize(letters)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
@@ -94,8 +112,16 @@ class WordTokens(dict):
     def ids(self, text: str) -> bytes:
         """All ids of ``text`` as little-endian bytes of ``self.dtype``."""
         lowered = text.lower()
-        if not self.by_word or _UNUSUAL.search(text) or any(s in lowered for s in self.special):
+        try:
+            kinds = text.encode("latin-1").translate(_KINDS)
+            unusual = b"!" in kinds
+        except UnicodeEncodeError:
+            kinds = text.encode("latin-1", "replace").translate(_KINDS)
+            unusual = _UNUSUAL.search(text) is not None
+        if not self.by_word or unusual or any(s in lowered for s in self.special):
             return self._encode(text)
+        if self.marks_apart and not (b".." in kinds or b".#" in kinds or b"#." in kinds):
+            lowered = lowered.replace(",", " , ").replace(".", " . ")
         return b"".join(map(self.__getitem__, lowered.split()))
 
 
