@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -166,6 +167,38 @@ def test_networks(spark):
     assert empty.first().network_cluster_id == -1 and none.count() == 0
 
 
+def unit_rows(seed, n, d):
+    """Unit vectors of which some are equal and some far from all others, with string ids not in row order."""
+    rng = np.random.default_rng(seed)
+    x = np.abs(rng.normal(size=(n, d)))
+    x[: n // 5] = x[0]
+    x[-6:] = -np.eye(d)[:6]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return [(f"a{k}", [float(c) for c in x[k]]) for k in rng.permutation(n)]
+
+
+def edges_of(rows, threshold):
+    return sorted((a, b, round(sim, 9)) for a, x in rows for b, y in rows if a < b and round(sim := float(np.dot(x, y)), 12) >= threshold)
+
+
+@pytest.mark.parametrize("at_once", [7, 8192])
+def test_vector_leaders_equal_the_scan_over_edges(spark, at_once):
+    rows = unit_rows(0, 90, 6)
+    ids = sorted(a for a, _ in rows)
+    edges = [(ids.index(a), ids.index(b)) for a, b, _ in edges_of(rows, 0.8)]
+    odd = [(None, dict(rows)["a0"]), ("zz", [math.nan] * 6)]
+    got = {r.id: r.seed for r in networks.vector_leaders(spark.createDataFrame(rows + odd, "id string, v array<double>"), 0.8, 3, at_once).collect()}
+    want = {ids[k]: ids[s] for k, s in greedy(len(ids), edges, 3).items()}
+    assert len(set(want.values())) > 3 and len(want) < len(ids)
+    assert got.pop(None) == want["a0"] and got == want
+
+
+def test_networks_form_no_pairs(spark, monkeypatch):
+    scored = actors.ActorFeatureExtractor().compute_risk_scores(simulate.simulate_actor_corpus(spark, 300, 0.1, 0.6))
+    monkeypatch.setattr(networks, "similarity_edges", lambda *a, **k: pytest.fail("pairs of actors grow with their square"))
+    assert networks.detect_coordination_networks(scored, 0.97, 3)[1].count() >= 1
+
+
 # ---- monitors, evidence, funnel ----
 
 

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import small_batches
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder of this session."""
@@ -65,13 +67,6 @@ def crc_mod(column: Column, mod: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % mod, F.lit(-1))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at a time, by rows and by bytes; settings the user has made stay."""
-    for key, usual, bound in (("maxRecordsPerBatch", "10000", "1024"), ("maxBytesPerBatch", "67108864b", "8m")):
-        if spark.conf.get(f"spark.sql.execution.arrow.{key}", usual) == usual:
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", bound)
-
-
 def hot_keys(counted: DataFrame, key: str, n: str, most: int = 1024) -> DataFrame:
     """The keys of ``counted`` (one row a key, its rows in ``n``) that hold at least one row in ``most`` of all: at most ``most`` keys, whatever the size of the data."""
     # a join on the key will ask for keys that are not null; asked here as well, both branches share one exchange
