@@ -48,3 +48,9 @@ def test_matches_sql(name, spark, sf_dir, duck):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(name, spark, sf_dir):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("name", ["coordination_clusters"])
+def test_clusters_form_no_pairs(name, spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalogue.networks, "similarity_edges", lambda *a, **k: pytest.fail("pairs grow with the square of the rows"))
+    assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
