@@ -50,7 +50,7 @@ def test_runs(name, spark, sf_dir):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
 
 
-@pytest.mark.parametrize("name", ["coordination_clusters", "coordination_report"])
+@pytest.mark.parametrize("name", ["coordination_clusters", "coordination_report", "embedding_leaders"])
 def test_clusters_form_no_pairs(name, spark, sf_dir, monkeypatch):
     monkeypatch.setattr(catalogue.networks, "similarity_edges", lambda *a, **k: pytest.fail("pairs grow with the square of the rows"))
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0

@@ -629,8 +629,7 @@ def coordination_report(spark, sf):
 
 @query("embedding_leaders", f"WITH RECURSIVE {UNIT.replace('SELECT vec_id, list_transform(v', 'SELECT vec_id AS id, list_transform(v')}, {LEADERS.format(threshold=0.4)} SELECT id, seed FROM cl")
 def embedding_leaders(spark, sf):
-    v = _vectors(spark, sf)
-    return networks.leader_clusters(v, networks.similarity_edges(v, 0.4), 3)
+    return networks.vector_leaders(_vectors(spark, sf), 0.4, 3)
 
 
 @query("cluster_lift", _clusters_sql(f"SELECT {_r('a', 'rate_in')}, {_r('b', 'rate_out')}, {_r('a / nullif(b, 0)', 'lift')} FROM (SELECT avg((prior_enforcement_count > 10)::INT) FILTER (WHERE network_cluster_id >= 0) AS a, avg((prior_enforcement_count > 10)::INT) FILTER (WHERE network_cluster_id < 0) AS b FROM ca)"))
