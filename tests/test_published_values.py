@@ -168,3 +168,9 @@ def test_weekly_ht_stream(spark, tmp_path):
     rows = spark.sql("SELECT * FROM VALUES ('v', true, 2D, TIMESTAMP'2025-01-06 01:00:00'), ('v', false, 6D, TIMESTAMP'2025-01-12 23:00:00'), ('v', true, 1D, NULL), ('v', true, 1D, TIMESTAMP'2025-03-12 00:00:00') t(harm_vertical, true_harmful, sample_weight, reviewed_at)")
     got = finished(weekly.weekly_ht(streamed(spark, tmp_path, "g", rows)), "ht")
     assert [(str(r.week), r.n_reviewed, r.ht_prevalence) for r in got] == [("2025-01-06", 2, 0.25)]
+
+
+def test_classification_holds_small_batches(spark):
+    session = spark.newSession()
+    classify.HarmClassifier(session).batch_classify(session.createDataFrame([("t",)], "text string"), "platform_abuse")
+    assert session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1024"

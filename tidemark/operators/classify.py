@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ratio
+from tidemark.session import small_batches
 from tidemark.sources.schemas import CLASSIFICATIONS, HARM_VERTICALS
 
 MODES = ("zero_shot", "few_shot")
@@ -235,6 +236,7 @@ class HarmClassifier:
         The request rate is shared out over ``parallel`` tasks (offline backends are not throttled).
         """
         self._check(harm_category, mode)
+        small_batches(self.spark)
         if mode == "few_shot" and examples is None:
             if harm_category not in EXAMPLES:
                 raise ValueError(f"no examples for {harm_category!r}")
